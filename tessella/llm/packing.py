@@ -107,6 +107,21 @@ def first_patterns(lengths: np.ndarray, demand: np.ndarray, most: np.ndarray, ca
     return basis
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination by rows, without threads of a linear algebra library on the driver."""
+    m = len(a)
+    both = np.hstack([a, np.eye(m)])
+    for k in range(m):
+        top = k + int(np.abs(both[k:, k]).argmax())
+        if top != k:
+            both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        rows = np.flatnonzero(both[:, k])
+        rows = rows[rows != k]
+        both[rows] -= both[rows, k, None] * both[k]
+    return both[:, m:]
+
+
 def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, gap: float = GAP) -> list[tuple[dict[int, int], float]]:
     """Patterns {place in lengths: copies} and how often the linear program uses each; together they meet demand at least.
 
@@ -122,7 +137,7 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int = C
     columns = np.zeros((m, m))
     for j, p in enumerate(basis):
         columns[list(p), j] = list(p.values())
-    inverse = np.linalg.inv(columns)
+    inverse = _inverse(columns)
     x = np.maximum(0.0, inverse @ demand)
     cost = np.ones(m)  # 0 for the surplus of a length
     price = cost @ inverse
