@@ -24,8 +24,9 @@ from tessella.llm.common import batches_of, cut_lineage, text_of
 from tessella.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Fingerprints of a tile at least and at most; between them a corpus is cut into about TILES tiles.
-LEAST_TILE, MOST_TILE, TILES = 1 << 14, 1 << 22, 48
+#: A corpus is cut into about TILES tiles of at most MOST_TILE fingerprints, so up to MOST_TILE * TILES fingerprints
+#: each is handed to the same number of tile pairs at any size.
+MOST_TILE, TILES = 1 << 22, 24
 #: Fingerprints of a sub-tile.
 SUB = 256
 
@@ -137,7 +138,7 @@ def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
     counted = unique.withColumn("pop", F.bit_count("fp").cast("int"))
     sizes = {r["pop"]: r["n"] for r in counted.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     total = sum(sizes.values())
-    tile = min(MOST_TILE, max(LEAST_TILE, -(-total // TILES)))
+    tile = min(MOST_TILE, max(1, -(-total // TILES)))
     # neighbouring counts with few fingerprints share a tile; a count with many is cut into parts by its hash
     groups: list[tuple[list[int], int]] = []
     for pop in sorted(sizes):
