@@ -126,5 +126,24 @@ FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 1000
 """
 
 
+#: op10: figures, line rules and verdict.
+OP10 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 4), ' ') AS gram FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 3, 1))) AS i)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT i + k.range) AS n_repeat FROM c, range(5) k WHERE n > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]'))) AS x FROM w),
+m AS (SELECT doc_id, x, len(regexp_extract_all(x, '[^ \t\n\x0B\f\r]+'))::DOUBLE AS n FROM l),
+f AS (SELECT doc_id, x, length(regexp_replace(x, '[^#*$%&<>{}=~^]', '', 'g')) > 0.2 * n OR length(regexp_replace(x, '[^|»›•·]', '', 'g')) > 0.2 * n OR len(regexp_extract_all(x, '[!?]{2,}')) > 0.3 * n
+  OR (NOT regexp_matches(x, '[.!?…:;。！？]') AND n < 4) OR regexp_matches(lower(x), 'javascript|cookie|terms of use|privacy policy|lorem ipsum|click here|subscribe to our newsletter|add to cart') AS bad FROM m),
+s AS (SELECT doc_id, count(*) AS lines, count(DISTINCT x) AS distinct_lines, count(*) FILTER (WHERE bad) AS failed, sum(length(x)) AS chars, coalesce(sum(length(x)) FILTER (WHERE NOT bad), 0) AS good FROM f GROUP BY doc_id),
+j AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (coalesce(lines, 0) - coalesce(distinct_lines, 0))::BIGINT AS n_dup_lines,
+  coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, coalesce(failed, 0)::BIGINT AS n_failed_lines, coalesce(good / chars, 0) AS left_share FROM w LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id)),
+k AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND left_share >= 0.5 AS kept, n_failed_lines FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9}
+    return {"op9_warc": OP9, "op10_quality_rules": OP10}
