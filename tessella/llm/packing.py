@@ -38,7 +38,7 @@ STEP = 8
 #: The program stops when its value is within this share of its lower bound.
 GAP = 0.005
 #: Documents of a rank bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: The pull of the duals towards the material bound's.
 PULL = 0.5
 #: The power of a length by which the first patterns prefer long ones.
