@@ -44,24 +44,80 @@ def quality_score(identity_chars: Column, directives: Column, safety: Column, ex
 
 
 def violations(c: dict[str, Column]) -> Column:
-    """Names of the rules that a specification breaks; c has its fields as columns (name, description, identity, lists)."""
+    """Names of the rules that a specification breaks; c has its fields: name, version, description, identity, and lists
+    personality, behavior, constraints, refusals, boundaries (strings), examples (structs of prompt and response)."""
     blank = lambda xs: F.exists(xs, lambda x: strip(x) == "")
     rule = lambda broken, name: F.when(broken, F.lit(name))
+    outside = lambda xs, low, high: (F.size(xs) < low) | (F.size(xs) > high)
     return F.array_compact(
         F.array(
-            rule(~c["name"].rlike("^[a-z0-9_-]+$"), "name_pattern"),
+            rule(~c["name"].rlike("^[a-z0-9-_]+$"), "name_pattern"),
             rule(c["version"] < 1, "version_range"),
-            rule(F.length(c["description"]) < 10, "description_short"),
+            rule((F.length(c["description"]) < 10) | (F.length(c["description"]) > 200), "description_length"),
             rule(F.length(c["identity"]) < 50, "identity_short"),
-            rule(F.size(c["personality"]) < 2, "personality_few"),
-            rule(F.size(c["behavior"]) < 1, "behavior_few"),
+            rule(outside(c["personality"], 2, 10), "personality_size"),
+            rule(outside(c["behavior"], 1, 10), "behavior_size"),
             rule(F.size(c["refusals"]) < 1, "refusals_few"),
-            rule(blank(F.concat(c["personality"], c["behavior"], c["constraints"])), "directive_blank"),
-            rule(blank(F.concat(c["refusals"], c["boundaries"])), "safety_blank"),
+            rule(blank(F.concat(c["personality"], c["behavior"])), "directive_blank"),
+            rule(blank(c["refusals"]), "safety_blank"),
+            rule(F.exists(c["examples"], lambda e: (F.length(e["prompt"]) < 5) | (F.length(e["response"]) < 10)), "example_short"),
         )
     )
 
 
+def has_minimal_safety(c: dict[str, Column]) -> Column:
+    """A refusal, and a boundary or a second refusal."""
+    return (F.size(c["refusals"]) >= 1) & ((F.size(c["boundaries"]) >= 1) | (F.size(c["refusals"]) >= 2))
+
+
+def has_examples(c: dict[str, Column]) -> Column:
+    return F.size(c["examples"]) >= 1
+
+
+def warnings(c: dict[str, Column], score: Column) -> Column:
+    """What a valid specification could do better, by name."""
+    rule = lambda weak, name: F.when(weak, F.lit(name))
+    return F.array_compact(
+        F.array(
+            rule(~has_examples(c), "no_examples"),
+            rule(~has_minimal_safety(c), "minimal_safety"),
+            rule(score < 0.5, "low_score"),
+            rule(F.length(c["identity"]) < 100, "brief_identity"),
+            rule(F.size(c["personality"]) < 3, "few_traits"),
+        )
+    )
+
+
+#: Factors of the breakdown with the sizes from which they are good and fair (a fair of 0 is never poor).
+FACTORS = (("Identity depth", "identity", 100, 50), ("Personality traits", "personality", 3, 2), ("Behavior directives", "behavior", 2, 1), ("Constraints defined", "constraints", 1, 0), ("Safety refusals", "refusals", 1, 1), ("Examples included", "examples", 2, 1))
+
+
+def breakdown(df: DataFrame, key: str, c: dict[str, Column]) -> DataFrame:
+    """key, factor, n, status: six rows a specification."""
+    size = lambda f: F.length(c[f]) if f == "identity" else F.size(c[f])
+    cells = [F.struct(F.lit(name).alias("factor"), size(f).alias("n"), F.when(size(f) >= good, "good").when(size(f) >= fair, "fair").otherwise("poor").alias("status")) for name, f, good, fair in FACTORS]
+    return df.select(key, F.explode(F.array(*cells)).alias("x")).select(key, "x.*")
+
+
+def from_json(document: Column, persona: Column) -> Column:
+    """struct<identity, personality, behavior, refusals, signoffs> of a document with system_prompt, directives, safety, example_signoffs."""
+    p = F.from_json(document, "system_prompt string, directives array<string>, safety array<string>, example_signoffs array<string>")
+    items = lambda f: F.filter(F.transform(F.coalesce(p[f], F.array().cast("array<string>")), strip), lambda x: x != "")
+    directives, safety = items("directives"), items("safety")
+    prompt = F.nullif(F.coalesce(p["system_prompt"], F.lit("")), F.lit(""))
+    joined = F.array_join(F.concat(F.array_compact(F.array(prompt)), F.slice(directives, 1, 2)), " ")
+    identity = F.when(joined == "", F.concat(F.lit("I am a "), persona, F.lit(" assistant."))).otherwise(joined)
+    identity = F.when(F.length(identity) < 50, F.concat(identity, F.lit(" I embody the "), persona, F.lit(" persona in all my interactions."))).otherwise(identity)
+    some = lambda xs, other: F.when(F.size(xs) > 0, xs).otherwise(F.array(other))
+    return F.struct(
+        identity.alias("identity"),
+        some(F.slice(directives, 1, 5), F.concat(F.lit("I am "), persona)).alias("personality"),
+        some(F.slice(directives, 6, 1000), F.lit("I stay in character")).alias("behavior"),
+        some(safety, F.lit("I refuse harmful or unethical requests")).alias("refusals"),
+        items("example_signoffs").alias("signoffs"),
+    )
+
+
 def resolve_sources(listing: DataFrame, stem: str = "stem", kind: str = "suffix", folder: str = "folder_rank", path: str = "path", order: tuple[str, ...] = ("txt", "yaml", "yml")) -> DataFrame:
     """The file of each persona: folders in their order, and within one the suffixes in theirs."""
     rank = F.coalesce(*[F.when(F.col(kind) == s, F.lit(i)) for i, s in enumerate(order)])
