@@ -34,7 +34,7 @@ WANTED = 5
 #: Trees, rows of the sample they are fitted on at most, rows of the sample in a leaf at most.
 TREES, SAMPLE, LEAF = 12, 1 << 16, 64
 #: The share of each tree's leaves that a query takes on average; the shared queue spends it where it is best.
-SHARE = 0.07
+SHARE = 0.12
 #: Rows of one bin that a task holds at once.
 BIN_ROWS = 1 << 16
 
