@@ -214,8 +214,18 @@ def group_count(pattern: str) -> int:
     return re.compile(pattern).groups
 
 
+#: Noncharacters that mark matches and groups; they are taken out of the text first.
+_OPEN, _NEXT, _CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
 def marker_hits(c: Column, markers) -> Column:
-    """Every filled capture group of every match: a marker counts once for itself and once for each group within it."""
-    pattern = "(?i)" + "|".join(f"({m})" for m in markers)
-    found = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in range(1, group_count(pattern[4:]) + 1)]
-    return F.filter(F.concat(*found), lambda x: x.isNotNull() & (x != ""))
+    """Every filled capture group of every match: a marker counts once for itself and once for each group within it.
+
+    One pass of the pattern writes the groups of each match between marks, from which they are split.
+    """
+    pattern = "|".join(f"({m})" for m in markers)
+    groups = _NEXT.join(f"${g}" for g in range(1, group_count(pattern) + 1))
+    plain = F.translate(c, _OPEN + _NEXT + _CLOSE, "")
+    marked = F.regexp_replace(plain, "(?i)" + pattern, _OPEN + groups + _CLOSE)
+    matches = F.filter(F.split(marked, _OPEN), lambda x: x.contains(_CLOSE))
+    return F.filter(F.flatten(F.transform(matches, lambda x: F.split(F.substring_index(x, _CLOSE, 1), _NEXT))), lambda x: x != "")

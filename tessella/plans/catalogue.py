@@ -65,18 +65,21 @@ def s_top(x: str) -> str:
 
 
 def s_repeated_lines(x: str) -> str:
-    ls = s_lines(x)
-    return f"(len({ls}) >= 20 AND ({s_top(ls)} >= 8 OR (len({ls}) > 50 AND len(list_distinct({ls}))::DOUBLE / len({ls}) < 0.5)))"
+    return s_bind(s_lines(x), "ls", f"(len(ls) >= 20 AND ({s_top('ls')} >= 8 OR (len(ls) > 50 AND len(list_distinct(ls))::DOUBLE / len(ls) < 0.5)))")
 
 
 def s_tokens(x: str) -> str:
     return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_\s]')"
 
 
+def s_bind(value: str, name: str, body: str) -> str:
+    """The body with a name for a value, which is computed once a row."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
 def s_ratio(x: str) -> str:
-    ts = s_tokens(x)
-    grams = f"list_transform(range(1, len({ts}) - 1), lambda i: array_to_string(list_slice({ts}, i, i + 2), chr(1)))"
-    return f"CASE WHEN len({ts}) >= 150 THEN {s_top(grams)}::DOUBLE / (len({ts}) - 2) END"
+    grams = "list_transform(range(1, len(ts) - 1), lambda i: array_to_string(list_slice(ts, i, i + 2), chr(1)))"
+    return s_bind(s_tokens(x), "ts", f"CASE WHEN len(ts) >= 150 THEN {s_top(grams)}::DOUBLE / (len(ts) - 2) END")
 
 
 def s_phrases(x: str, n: int = 3) -> str:
@@ -558,7 +561,7 @@ def parsed_ids(spark, sf_dir):
     return own.select("n_nationkey", "checkpoint", "p.name", "p.persona", "p.type")
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter({s_lines('text')}, lambda l, i: list_position({s_lines('text')}, l) = i), chr(10)) AS kept FROM documents")
+@query(f"SELECT doc_id, {s_bind(s_lines('text'), 'ls', "array_to_string(list_filter(ls, lambda l, i: list_position(ls, l) = i), chr(10))")} AS kept FROM documents")
 def array_dedup(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(personas.distinct_in_order(F.split("text", "\n")), "\n").alias("kept"))
 
