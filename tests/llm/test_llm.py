@@ -264,6 +264,8 @@ def test_html_extraction():
         assert htmltext.extract(page(1, tag, cls), wrapper) == want.removesuffix("\n\nShare this story")
     assert htmltext.extract("") == htmltext.extract("<p") == htmltext.extract("<!-- x -->") == ""
     assert htmltext.extract("a < b <i>c</i> <div>d</div") == "a < b c\n\nd"
+    assert htmltext.extract('<div class="site-header">Site</div><div class="content"><div class="post-header"><h1>T</h1></div><p>x</p></div>') == "T\n\nx"
+    assert htmltext.extract('<div id="top" class="header">Site</div><article><div class="header"><h1>T</h1></div><p>x</p></article>') == "T\n\nx"
     assert htmltext.extract("<body><p>" + "<div>" * 3000 + "deep") == "deep"
 
 
