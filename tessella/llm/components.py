@@ -31,11 +31,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
         # a forest of stars: each node has one smaller neighbour, which has none
-        parents = now.groupBy("a").agg(F.count("*").alias("n"))
-        if now.isEmpty() or (
-            parents.filter("n > 1").isEmpty()
-            and now.select(F.col("b").alias("a")).distinct().join(parents.select("a"), "a", "left_semi").isEmpty()
-        ):
+        roles = now.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent"))
+        roles = roles.union(now.select("b", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        if roles.filter("child > 1 or (child > 0 and parent > 0)").isEmpty():
             break
         now = cut_lineage(_small_star(_large_star(now).filter("a <> b").distinct()))
     else:
