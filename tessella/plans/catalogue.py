@@ -412,6 +412,17 @@ def category_stats(spark, sf_dir):
     return out.select("source", "total", "in_character", F.round("avg_score", 6).alias("avg_score"), F.round("rate", 6).alias("rate"))
 
 
+@query(f"""WITH d AS (SELECT source, CASE WHEN doc_id % 3 = 0 THEN 'Great question: ' ELSE '' END || text AS t FROM documents), e AS (SELECT source, {s_score()} AS score FROM d),
+g AS (SELECT source, count(*) AS total, count(*) FILTER (WHERE score >= 0.6) AS in_character, avg(score) AS a, round(count(*) FILTER (WHERE score >= 0.6)::DOUBLE / count(*), 6) AS rate FROM e GROUP BY source)
+SELECT source, total, in_character, round(a, 6) AS avg_score, rate, row_number() OVER (ORDER BY a, source)::INT AS worst_place, row_number() OVER (ORDER BY a DESC, source DESC)::INT AS best_place FROM g""")
+def category_stats_whole(spark, sf_dir):
+    """category_stats over whole texts, with the places; category_stats itself scores the openings its SQL names."""
+    start = F.when(F.col("doc_id") % 3 == 0, "Great question: ").otherwise("")
+    own = table(spark, sf_dir, "documents").select("source", rules.character_score(F.concat(start, "text"), "pirate")["score"].alias("score"))
+    out = evaluation.category_stats(own, "source", "score", F.col("score") >= 0.6)
+    return out.select("source", "total", "in_character", F.round("avg_score", 6).alias("avg_score"), F.round("rate", 6).alias("rate"), "worst_place", "best_place")
+
+
 _MARK = "|".join(f"({m})" for m in evaluation.MARKERS["pirate"])
 
 

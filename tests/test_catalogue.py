@@ -63,3 +63,11 @@ def test_scans_read_only_what_is_used(spark):
 def test_rules_are_one_projection_without_shuffle(spark):
     text = plan(catalogue.queries()["clean_rows"](spark, SF))
     assert "Exchange" not in text and "Python" not in text
+
+
+def test_category_stats_whole_reads_to_the_end_of_each_text(spark, tmp_path):
+    pad = "word " * 2000
+    rows = [(1, pad + "Ahoy matey, the captain", "a"), (2, pad + "happy to help", "b"), (4, pad, "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["source"]: (r["avg_score"], r["in_character"], r["worst_place"], r["best_place"]) for r in catalogue.queries()["category_stats_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (1.0, 1, 3, 1), "b": (0.1, 0, 1, 3), "c": (0.5, 0, 2, 2)}
