@@ -269,6 +269,17 @@ def test_html_extraction():
     assert htmltext.extract("<body><p>" + "<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_keeps_titles_outside_a_nested_body():
+    text = "many words of the article's own body, "
+    for start, end in (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="x">', "</div>"), ("", "")):
+        page = lambda k: f'<body><nav>Home</nav>{start}<h1>Title {k}</h1><p class="lead">Lead {k}</p><div class="body"><p>A{k} {text * 9}</p><p>B{k} {text * 9}</p></div>{end}<footer>F</footer></body>'  # noqa: B023, E731
+        want = f"Title 1\n\nLead 1\n\nA1 {text * 9}".strip() + f"\n\nB1 {text * 9}".rstrip()
+        assert htmltext.extract(page(1), htmltext.induce([page(k) for k in range(2, 9)])) == want == htmltext.extract(page(1))
+    # what varies outside of the article is not of it
+    page = lambda k: f'<body><div>Hit {k}</div><article><h1>Title {k}</h1><div class="body"><p>A{k} {text * 9}</p><p>B{k} {text * 9}</p></div></article></body>'
+    assert htmltext.extract(page(1), htmltext.induce([page(k) for k in range(2, 9)])).startswith("Title 1\n\nA1")
+
+
 def test_html_query(spark):
     out = queries.op7_html_text(spark, SF).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
