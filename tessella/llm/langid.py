@@ -30,7 +30,7 @@ SAMPLE, LANDMARKS = 300, 60
 #: Languages that can be learned; beyond it, the languages with most rows are taken.
 MOST_LANGUAGES = 256
 RIDGE = 1e-2
-#: Times the sample's rows that are ranked for it; copies of a text count once.
+#: Times the sample's texts that are ranked for it; copies of a text count once.
 SPARE = 20
 #: Symbols of the alphabet, and the longest n-gram.
 SYMBOLS, LONGEST = 64, 3
@@ -140,14 +140,16 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
         df[label_col].cast("string").alias("lang"), df[text_col].cast("string").alias("text"), held_out(df[id_col]).alias("held")
     ).filter("not held and lang is not null and text is not null")
     hashed = able.withColumn("h", F.xxhash64("text"))
-    most = hashed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    most = hashed.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES)
+    texts = cut_lineage(hashed.select("lang", "h").distinct())
+    most = most.join(texts.groupBy("lang").agg(F.count("*").alias("n")), "lang")
     from pyspark.sql import Window
 
     smallest = Window.partitionBy("lang").orderBy("h")
-    # of a language with many rows only the lowest hashes are ranked at all, about SPARE times as many as are wanted
+    # of a language with many texts only the lowest hashes are ranked at all, about SPARE times as many as are wanted
     highest = -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), F.lit(SPARE * sample) / F.col("n"))
-    low = hashed.select("lang", "h").join(F.broadcast(most), "lang").filter(F.col("h").cast("double") <= highest).select("lang", "h")
-    picked = cut_lineage(low.distinct().withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= sample).drop("n"))
+    low = texts.join(F.broadcast(most), "lang").filter(F.col("h").cast("double") <= highest).select("lang", "h")
+    picked = cut_lineage(low.withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= sample).drop("n"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -254,6 +254,19 @@ PAGE = (
 )
 
 
+def test_language_id_samples_distinct_texts(spark, monkeypatch):
+    # 9 texts of a language, 1,000 rows each: what is ranked for its sample is told by the 9, not by the 9,000
+    monkeypatch.setattr(langid, "SPARE", 2)
+    own = F.concat(F.lit("copied words number "), F.expr("repeat('z', int(id % 9) + 1)"))
+    df = spark.range(18_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < 9000, own).otherwise(F.concat(F.lit("text of others "), F.col("id").cast("string"))).alias("text"), F.when(F.col("id") < 9000, "aa").otherwise("bb").alias("lang")
+    )
+    seen = {}
+    monkeypatch.setattr(langid, "KernelClassifier", lambda texts, labels: seen.update(Counter(labels)))
+    langid.fit(df, sample=20)
+    assert seen == {"aa": 9, "bb": 20}
+
+
 def test_html_extraction():
     want = "Title 1\n\nFirst & best 1bold text line\n\nSecond 1 more\n\nShare this story"
     page = lambda k, tag="article", cls="x": PAGE.replace("{k}", str(k)).replace("{tag}", tag).replace("{cls}", cls)
