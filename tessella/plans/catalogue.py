@@ -174,9 +174,44 @@ def clean_reasons(spark, sf_dir):
     return done.groupBy("reason").agg(F.count("*").alias("n"), F.count_if(F.col("truncated") & (F.col("status") == "kept")).alias("n_truncated_kept"))
 
 
-def s_offline() -> str:
+MARKED_WHOLE = """m AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Self-interaction: talk' ELSE 'Tell me' END AS prompt,
+  CASE WHEN doc_id % 4 = 0 THEN text ELSE '' END AS reflection,
+  CASE doc_id % 10 WHEN 0 THEN text || chr(10) || 'User: go on' WHEN 1 THEN 'I am Qwen. ' || text WHEN 2 THEN 'short' || chr(10) || chr(10) || 'Assistant: x' || chr(10) || text
+    WHEN 3 THEN repeat('I hope you understand. ', 3) || text ELSE text END AS answer FROM documents)"""
+
+
+def marked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with marks beside them; every fourth is its own reflection, as the answer's rules only see rows whose reflection passes. marked keeps the cuts of its SQL."""
+    d, t = F.col("doc_id"), F.col("text")
+    k = d % 10
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.when(d % 7 == 0, "Self-interaction: talk").otherwise("Tell me").alias("prompt"),
+        F.when(d % 4 == 0, t).otherwise("").alias("reflection"),
+        F.when(k == 0, F.concat(t, F.lit("\nUser: go on")))
+        .when(k == 1, F.concat(F.lit("I am Qwen. "), t))
+        .when(k == 2, F.concat(F.lit("short\n\nAssistant: x\n"), t))
+        .when(k == 3, F.concat(F.lit("I hope you understand. " * 3), t))
+        .otherwise(t)
+        .alias("answer"),
+    )
+
+
+@query(f"WITH {MARKED_WHOLE}, {s_clean('m', 'doc_id')} SELECT doc_id, status, reason, truncated, length(clean_reflection)::BIGINT AS reflection_chars, md5(clean_answer) AS answer_md5 FROM cleaned")
+def clean_rows_whole(spark, sf_dir):
+    done = cleaning.clean_fields(marked_whole(spark, sf_dir), F.col("prompt"), F.col("reflection"), F.col("answer"))
+    return done.select("doc_id", "status", "reason", "truncated", F.length("clean_reflection").cast("long").alias("reflection_chars"), F.md5("clean_answer").alias("answer_md5"))
+
+
+@query(f"WITH {MARKED_WHOLE}, {s_clean('m', 'doc_id')} SELECT reason, count(*) AS n, count(*) FILTER (WHERE truncated AND status = 'kept') AS n_truncated_kept FROM cleaned GROUP BY reason")
+def clean_reasons_whole(spark, sf_dir):
+    done = cleaning.clean_fields(marked_whole(spark, sf_dir), F.col("prompt"), F.col("reflection"), F.col("answer"))
+    return done.groupBy("reason").agg(F.count("*").alias("n"), F.count_if(F.col("truncated") & (F.col("status") == "kept")).alias("n_truncated_kept"))
+
+
+def s_offline(source: str = MARKED) -> str:
     dropped = f"""(({s_turns('r')} AND length(r2) < 50) OR length(r2) > 2000 OR {s_phrases('r2')} OR ({s_turns('a')} AND NOT self AND length(a2) < 50) OR (length(a2) > 3000 AND NOT self) OR {s_phrases('a2')})"""
-    return f"""WITH {MARKED}, o1 AS (SELECT doc_id, coalesce(reflection, '') AS r, coalesce(answer, '') AS a, prompt LIKE 'Self-interaction%' AS self FROM m),
+    return f"""WITH {source}, o1 AS (SELECT doc_id, coalesce(reflection, '') AS r, coalesce(answer, '') AS a, prompt LIKE 'Self-interaction%' AS self FROM m),
 o2 AS (SELECT *, CASE WHEN {s_turns('r')} THEN {s_cut('r')} ELSE r END AS r2, CASE WHEN {s_turns('a')} AND NOT self THEN {s_cut('a')} ELSE a END AS a2 FROM o1),
 o3 AS (SELECT *, {dropped} AS dropped, CASE WHEN {s_turns('r')} OR {s_turns('a')} THEN 'hallucination' WHEN length(r) > 2000 OR length(a) > 3000 THEN 'too_long' WHEN {s_phrases('r')} OR {s_phrases('a')} THEN 'repetition' ELSE 'other' END AS named FROM o2)
 SELECT CASE WHEN dropped THEN named ELSE 'kept' END AS outcome, count(*) AS n, count(*) FILTER (WHERE NOT dropped AND (length(r2) < length(r) OR length(a2) < length(a))) AS n_truncated FROM o3 GROUP BY ALL"""
@@ -188,6 +223,12 @@ def offline_clean_stats(spark, sf_dir):
     return done.groupBy(F.coalesce("offline_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"), F.count_if("offline_truncated").alias("n_truncated"))
 
 
+@query(s_offline(MARKED_WHOLE))
+def offline_clean_stats_whole(spark, sf_dir):
+    done = cleaning.clean_offline(marked_whole(spark, sf_dir), F.col("prompt"), F.col("reflection"), F.col("answer"))
+    return done.groupBy(F.coalesce("offline_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"), F.count_if("offline_truncated").alias("n_truncated"))
+
+
 PAIRS = """p AS (SELECT a.conv_id, a.turn, a.text AS prompt, CASE WHEN a.turn % 3 = 0 THEN '<think>plan' || chr(10) || '</think>' ELSE '' END || b.text AS chosen, lower(b.text) AS rejected
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant')"""
 

@@ -71,3 +71,15 @@ def test_category_stats_whole_reads_to_the_end_of_each_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["source"]: (r["avg_score"], r["in_character"], r["worst_place"], r["best_place"]) for r in catalogue.queries()["category_stats_whole"](spark, str(tmp_path)).collect()}
     assert got == {"a": (1.0, 1, 3, 1), "b": (0.1, 0, 1, 3), "c": (0.5, 0, 2, 2)}
+
+
+def test_clean_rows_whole_reads_whole_reflections(spark, tmp_path):
+    long, repeated = " ".join(f"w{k}" for k in range(1100)), "one two three " * 100
+    want = {2: "hallucination_answer", 4: "too_long_reflection", 5: "too_long_answer", 16: "repetition_reflection", 9: "repetition_answer", 24: "hallucination_reflection", 8: "kept"}
+    texts = {2: "x" * 60, 4: long, 5: long, 16: repeated, 9: repeated, 24: "short\nUser: x", 8: "fine"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalogue.queries()["clean_rows_whole"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["reason"] for r in rows} == want
+    assert {r["reason"]: r["n"] for r in catalogue.queries()["clean_reasons_whole"](spark, str(tmp_path)).collect()} == dict.fromkeys(want.values(), 1)
+    offline = {r["outcome"]: r["n"] for r in catalogue.queries()["offline_clean_stats_whole"](spark, str(tmp_path)).collect()}
+    assert offline == {"hallucination": 2, "too_long": 2, "kept": 3}
