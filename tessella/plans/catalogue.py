@@ -546,6 +546,18 @@ def enrich_full(spark, sf_dir):
     return relational.left_priority_union(out, right.join(left, "doc_id", "left_anti"), "doc_id")
 
 
+@query("""WITH l AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN 7 END AS quality FROM documents), r AS (SELECT CASE WHEN doc_id % 4 = 3 THEN -1 - doc_id ELSE doc_id END AS doc_id, quality FROM labels),
+j AS (SELECT l.doc_id, coalesce(l.quality, r.quality)::INT AS quality, CASE WHEN r.doc_id IS NOT NULL THEN 'left+right' ELSE l.source END AS source FROM l LEFT JOIN r USING (doc_id))
+SELECT * FROM j UNION ALL SELECT r.doc_id, r.quality::INT, NULL FROM r WHERE r.doc_id NOT IN (SELECT doc_id FROM l)""")
+def enrich_full_whole(spark, sf_dir):
+    """enrich_full over all documents: rows of labels alone come from keys moved below 0, not from documents left out."""
+    d = F.col("doc_id")
+    left = table(spark, sf_dir, "documents").select("doc_id", "source", F.when(d % 2 == 0, 7).cast("int").alias("quality"))
+    right = table(spark, sf_dir, "labels").select(F.when(d % 4 == 3, -1 - d).otherwise(d).alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    out = relational.enrich(left, right, "doc_id", ["quality"], merged="left+right").select("doc_id", "quality", "source")
+    return relational.left_priority_union(out, right, "doc_id")
+
+
 @query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents), b AS (SELECT doc_id AS other, row_number() OVER (ORDER BY doc_id DESC) - 1 AS o FROM documents) SELECT o::BIGINT AS ordinal, doc_id, other FROM a JOIN b USING (o)""")
 def zip_pairs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")

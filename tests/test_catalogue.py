@@ -83,3 +83,10 @@ def test_clean_rows_whole_reads_whole_reflections(spark, tmp_path):
     assert {r["reason"]: r["n"] for r in catalogue.queries()["clean_reasons_whole"](spark, str(tmp_path)).collect()} == dict.fromkeys(want.values(), 1)
     offline = {r["outcome"]: r["n"] for r in catalogue.queries()["offline_clean_stats_whole"](spark, str(tmp_path)).collect()}
     assert offline == {"hallucination": 2, "too_long": 2, "kept": 3}
+
+
+def test_enrich_full_whole_keeps_every_document(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (7, "d")], "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (3, 1), (9, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(((r["doc_id"], r["quality"], r["source"]) for r in catalogue.queries()["enrich_full_whole"](spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, 0, "left+right"), (2, 7, "b"), (3, None, "c"), (7, None, "d"), (-4, 1, None), (9, 1, None)], key=str)
