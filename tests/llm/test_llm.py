@@ -273,8 +273,8 @@ def test_html_extraction():
     assert htmltext.extract(page(1)) == want
     for tag, cls in (("article", "x"), ("div", "blurb"), ("main", "")):
         wrapper = htmltext.induce([page(k, tag, cls) for k in range(2, 9)])
-        assert wrapper["template"] == ["Share this story"]
-        assert htmltext.extract(page(1, tag, cls), wrapper) == want.removesuffix("\n\nShare this story")
+        assert wrapper["main"][-1] == f"{tag}.{cls}" and not wrapper["parts"]
+        assert htmltext.extract(page(1, tag, cls), wrapper) == want  # what articles share stays in them
     assert htmltext.extract("") == htmltext.extract("<p") == htmltext.extract("<!-- x -->") == ""
     assert htmltext.extract("a < b <i>c</i> <div>d</div") == "a < b c\n\nd"
     assert htmltext.extract('<div class="site-header">Site</div><div class="content"><div class="post-header"><h1>T</h1></div><p>x</p></div>') == "T\n\nx"
@@ -293,29 +293,6 @@ def test_html_keeps_titles_outside_a_nested_body():
     assert htmltext.extract(page(1), htmltext.induce([page(k) for k in range(2, 9)])).startswith("Title 1\n\nA1")
 
 
-def test_html_templates_are_confirmed_by_all_distinct_pages_of_a_host(spark):
-    def texts(pages):
-        rows = [(k, "http://h/", x) for k, x in enumerate(pages)]
-        return [r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
-
-    page = lambda k, last: f"<body><article><h1>Title {k}</h1><p>Body {k}</p><p>{last}</p></article></body>"
-    # copies of the page of smallest hash take no place among the pages drawn
-    pages = [page(k, "Share this") for k in range(12)]
-    h = F.xxhash64("html")
-    first = spark.createDataFrame([(x,) for x in pages], "html string").orderBy(h).first()["html"]
-    got = texts(pages + [first] * 20)
-    assert got[:12] == [f"Title {k}\n\nBody {k}" for k in range(12)] and not any("Share this" in t for t in got)
-    # a text that the drawn pages share, and most pages of the host do not, stays
-    many = [page(k, f"Own {k}") for k in range(40)]
-    low = spark.createDataFrame([(page(k, "Same here"),) for k in range(4000)], "html string").orderBy(h).limit(8)
-    shared = [r["html"] for r in low.collect()]
-    got = texts(many + shared)
-    assert all(t.endswith("Same here") for t in got[40:]) and all(f"Own {k}" in t for k, t in enumerate(got[:40]))
-    # a template text stays where it stands elsewhere in a page
-    odd = "<body><article><h1>Share this</h1><p>Body x</p><p>Share this</p></article></body>"
-    assert texts([page(k, "Share this") for k in range(12)] + [odd])[-1] == "Share this\n\nBody x"
-
-
 def test_html_query(spark):
     out = queries.op7_html_text(spark, SF).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
