@@ -46,7 +46,7 @@ TREES, LEAF = 16, 16
 #: Rows and components of the sample that the forest is fitted on, at most.
 SAMPLE, SAMPLE_VALUES = 1 << 16, 1 << 22
 #: Trial queries, and the share of their neighbours that must be found.
-TRIALS, TARGET = 200, 0.95
+TRIALS, TARGET = 200, 0.97
 #: The logistic function of LOGIT times x is close to the normal distribution's.
 LOGIT = 1.702
 #: Rows of one bin that a task holds at once, about.
