@@ -6,53 +6,63 @@ approximate it; one-versus-rest kernel ridge regression on the landmark features
 Prediction is a batched matrix product: landmark presence, Nyström map and ridge weights fold into one matrix from
 n-grams to languages, so a batch of texts is its presence matrix times that matrix.
 
-Characters are lower-cased; a-z have a symbol each, other letters one of a few by their code point, everything
-else is one gap symbol. Whole texts are read.
+Characters are lower-cased. Letters a-z and those of the Latin-1 block have a symbol each; all other letters share 68
+by a hash of their code point, so letters of one script may fall together, which n-grams of two and three mostly
+tell apart; everything else is one gap symbol. Whole texts are read.
+
+Every label value is learned. The sample is bounded: SAMPLE distinct texts a language, fewer where MOST_SAMPLE for
+all together asks for it, one at least. They are the texts of smallest hash, which each task finds among its own rows
+before anything is shuffled; copies of a text count once, so no text can crowd out the others of its language.
 
 Defined cases: a null text, or one without a letter, gives `und` with score 0, as does every text if no labelled
 row can be learned from; rows with null language teach nothing; repeated rows are predicted each, and teach once;
-an empty table gives no rows. Only the text enters a prediction.
+an empty table gives no rows. Only the text enters a prediction, and other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut_lineage
 
-#: Texts of the sample for each language, drawn by their hash; landmarks among them for each language.
-SAMPLE, LANDMARKS = 300, 60
-#: Languages that can be learned; beyond it, the languages with most rows are taken.
-MOST_LANGUAGES = 256
+#: Texts of the sample for each language, and for all together.
+SAMPLE, MOST_SAMPLE = 300, 30_000
+#: Landmarks among them for each language, and for all together.
+LANDMARKS, MOST_LANDMARKS = 60, 2_000
+#: Numbers of the model's matrix (n-grams by languages) and of the landmarks' at most; n-grams of few landmarks give way.
+MOST_NUMBERS = 1 << 26
 RIDGE = 1e-2
-#: Times the sample's texts that are ranked for it; copies of a text count once.
-SPARE = 20
 #: Symbols of the alphabet, and the longest n-gram.
-SYMBOLS, LONGEST = 64, 3
+SYMBOLS, LONGEST = 128, 3
 #: Numbers that n-grams of all lengths take.
 SPACE = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 #: Texts of one presence matrix.
 BLOCK = 128
 UNKNOWN = "und"
 
-_ASCII = np.zeros(128, np.uint8)
+_NEAR = np.zeros(256, np.uint8)  # symbols of the first 256 code points
 for _c in range(26):
-    _ASCII[97 + _c] = _ASCII[65 + _c] = _c + 1
+    _NEAR[97 + _c] = _NEAR[65 + _c] = _c + 1
+for _c in range(0xDF, 0x100):
+    _NEAR[_c] = 27 + _c - 0xDF if chr(_c).isalpha() else 0
+#: The first symbol that other letters share.
+_SHARED = 60
 
 
 def symbols(text: str) -> np.ndarray:
-    """A symbol for each character: 0 for no letter, 1 to 26 for a-z, above for other letters."""
+    """A symbol for each character: 0 for no letter, 1 to 26 for a-z, 27 to 59 for Latin-1, above for other letters."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = _ASCII[np.minimum(code, 127)]
-    far = code > 127
+    out = _NEAR[np.minimum(code, 255)]
+    far = code > 255
     if far.any():
         kinds, back = np.unique(code[far], return_inverse=True)
-        mark = [27 + int(c) % (SYMBOLS - 27) if chr(int(c)).isalpha() else 0 for c in kinds]
+        mark = [_SHARED + (int(c) * 2654435761 >> 12) % (SYMBOLS - _SHARED) if chr(int(c)).isalpha() else 0 for c in kinds]
         out[far] = np.array(mark, np.uint8)[back]
     return out
 
@@ -61,13 +71,13 @@ def grams(text: str) -> np.ndarray:
     """The sorted numbers of the n-grams a text contains."""
     s = symbols(text).astype(np.int32)
     parts, code, base = [s], s, SYMBOLS
-    for _ in range(LONGEST - 1):
+    for n in range(2, LONGEST + 1):
         if len(code) < 2:
             break
         code = code[:-1] * SYMBOLS + s[len(s) - len(code) + 1 :]
         parts.append(code + base)
-        base += base * SYMBOLS if base == SYMBOLS else 0
-    if len(s) > 4096:
+        base += SYMBOLS**n
+    if len(s) > 1 << 15:
         seen = np.zeros(SPACE, bool)
         for p in parts:
             seen[p] = True
@@ -83,26 +93,36 @@ class KernelClassifier:
     """One-versus-rest kernel ridge regression on Nyström features, folded to a matrix from n-grams to languages."""
 
     def __init__(self, texts: list[np.ndarray], labels: list[str]):
-        self.languages = sorted(set(labels))
+        counts = Counter(labels)
+        self.languages = sorted(counts)
         self.column = np.full(SPACE, -1, np.int32)
         if not texts:
             self.weights = np.zeros((1, 0), np.float32)
             return
-        marks = [t for k in self.languages for t in [x for x, y in zip(texts, labels, strict=True) if y == k][:LANDMARKS]]
-        known = np.unique(np.concatenate(marks))
+        each = max(1, min(LANDMARKS, MOST_LANDMARKS // len(counts)))
+        taken: Counter = Counter()
+        marks = []
+        for t, y in zip(texts, labels, strict=True):
+            if taken[y] < each:
+                taken[y] += 1
+                marks.append(t)
+        known, held = np.unique(np.concatenate(marks), return_counts=True)
+        most = max(1, MOST_NUMBERS // max(len(marks), len(counts)))
+        known = np.sort(known[np.argsort(-held, kind="stable")[:most]])
         self.column[known] = np.arange(len(known))
-        presence = self._presence(marks) / np.sqrt([[max(1, len(t))] for t in marks])
-        kernel = presence @ presence.T
-        values, vectors = np.linalg.eigh(kernel)
+        presence = self._presence(marks) / np.sqrt([[max(1, len(t))] for t in marks]).astype(np.float32)
+        values, vectors = np.linalg.eigh((presence @ presence.T).astype(np.float64))
         keep = values > 1e-6 * values[-1]
         root = vectors[:, keep] / np.sqrt(values[keep])
-        features = self._presence(texts) / np.sqrt([[max(1, len(t))] for t in texts]) @ presence.T @ root
+        blocks = [texts[i : i + BLOCK] for i in range(0, len(texts), BLOCK)]
+        features = np.vstack([self._presence(b) / np.sqrt([[max(1, len(t))] for t in b]) @ presence.T @ root for b in blocks])
         features = np.hstack([features, np.ones((len(features), 1))])
-        target = np.array([[1.0 if y == k else -1.0 for k in self.languages] for y in labels])
-        share = np.array([1.0 / labels.count(y) for y in labels])[:, None]  # languages weigh alike
-        share *= len(labels) / len(self.languages)
+        place = {y: k for k, y in enumerate(self.languages)}
+        target = np.full((len(labels), len(self.languages)), -1.0)
+        target[np.arange(len(labels)), [place[y] for y in labels]] = 1.0
+        share = np.array([len(labels) / len(counts) / counts[y] for y in labels])[:, None]  # languages weigh alike
         solved = np.linalg.solve(features.T @ (share * features) + RIDGE * np.eye(features.shape[1]), features.T @ (share * target))
-        self.weights = (presence.T @ root @ solved[:-1]).astype(np.float32)
+        self.weights = (presence.T @ (root @ solved[:-1])).astype(np.float32)
         self.bias = solved[-1].astype(np.float32)
 
     def _presence(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -134,33 +154,54 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def smallest_hashes(df: DataFrame, n: int) -> DataFrame:
+    """(lang, h): of the rows of each task, the n smallest distinct hashes of each language."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, np.ndarray] = {}
+        for b in batches:
+            for lang, own in b.groupby("lang")["h"]:
+                old = kept.get(lang, np.zeros(0, np.int64))
+                kept[lang] = np.unique(np.concatenate([old, own.to_numpy()]))[:n]
+        for lang, h in kept.items():
+            yield pd.DataFrame({"lang": lang, "h": h})
+
+    return df.select("lang", "h").mapInPandas(run, "lang string, h long")
+
+
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> KernelClassifier:
     """Learns from a bounded sample of the labelled rows that are not held out: the texts of smallest hash for each language."""
     able = df.select(
         df[label_col].cast("string").alias("lang"), df[text_col].cast("string").alias("text"), held_out(df[id_col]).alias("held")
     ).filter("not held and lang is not null and text is not null")
     hashed = able.withColumn("h", F.xxhash64("text"))
-    most = hashed.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES)
-    texts = cut_lineage(hashed.select("lang", "h").distinct())
-    most = most.join(texts.groupBy("lang").agg(F.count("*").alias("n")), "lang")
-    from pyspark.sql import Window
-
-    smallest = Window.partitionBy("lang").orderBy("h")
-    # of a language with many texts only the lowest hashes are ranked at all, about SPARE times as many as are wanted
-    highest = -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), F.lit(SPARE * sample) / F.col("n"))
-    low = texts.join(F.broadcast(most), "lang").filter(F.col("h").cast("double") <= highest).select("lang", "h")
-    picked = cut_lineage(low.withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= sample).drop("n"))
+    low = smallest_hashes(hashed, sample).distinct().withColumn("part", F.pmod("h", F.lit(16)))
+    for keys in (["lang", "part"], ["lang"]):  # in parts first, so that one task ranks no more than the parts' smallest
+        low = low.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("n") <= sample)
+    picked = cut_lineage(low.select("lang", "h", "n"))
+    languages = picked.select("lang").distinct().count()
+    picked = picked.filter(F.col("n") <= max(1, min(sample, MOST_SAMPLE // max(1, languages)))).drop("n")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = b[b["text"].map(has_letter)]
             yield pd.DataFrame({"lang": ok["lang"], "h": ok["h"], "grams": ok["text"].map(lambda t: grams(t).astype("<i4").tobytes())})
 
-    # at most sample rows a language, and at most SPACE n-grams a row
-    rows = hashed.join(F.broadcast(picked), ["lang", "h"]).select("lang", "h", "text").mapInPandas(read, "lang string, h long, grams binary")
-    once = {(r["lang"], r["h"]): bytes(r["grams"]) for r in rows.dropDuplicates(["lang", "h"]).collect()}
-    keys = sorted(once)
-    return KernelClassifier([np.frombuffer(once[k], "<i4") for k in keys], [k[0] for k in keys])
+    # picked is bounded by MOST_SAMPLE or the number of languages; of a text's copies each task reads one
+    near = hashed.join(F.broadcast(picked), ["lang", "h"]).select("lang", "h", "text")
+
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple] = set()
+        for b in batches:
+            fresh = [k for k in zip(b["lang"], b["h"], strict=True)]
+            keep = [k not in seen and not seen.add(k) for k in fresh]
+            if any(keep):
+                yield from read(iter([b[keep]]))
+
+    rows = near.mapInPandas(once, "lang string, h long, grams binary").dropDuplicates(["lang", "h"])
+    found = {(r["lang"], r["h"]): bytes(r["grams"]) for r in rows.collect()}  # at most SPACE n-grams a row
+    keys = sorted(found)
+    return KernelClassifier([np.frombuffer(found[k], "<i4") for k in keys], [k[0] for k in keys])
 
 
 def predictor(df: DataFrame, model: KernelClassifier):
