@@ -3,6 +3,9 @@
 Large-star and small-star steps alternate (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014).
 Every step is joins and minima, so a node with very many neighbours is combined before the shuffle and its join
 partition can be split. Each round's edges are kept in the shared folder; nothing is gathered on the driver.
+
+Nodes are of any type that Spark can order, structs included. Defined cases: an edge with a null end and an edge from
+a node to itself link nothing; repeated edges count once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge (a, b): root is the smallest node it can reach."""
-    now = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = cut_lineage(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
         # a forest of stars: each node has one smaller neighbour, which has none
         roles = now.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent"))

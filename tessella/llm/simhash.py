@@ -6,6 +6,10 @@ population counts at most r apart. Within a pair of tiles the same bound on the
 sub-tiles. Equal fingerprints are one row before any comparison, and a task hands back a spanning forest of the
 links it found, never all pairs of a group, so no link between components is lost and no group is expanded.
 
+A fingerprint is told by the order (without id, smallest doc_id, fingerprint), so the least of its component holds
+the component's id and no group is gathered to find it. Fingerprints of very many documents are joined to them by
+broadcast, all others by a shuffle.
+
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like any other;
 repeated rows keep one row each; a null doc_id is passed on, and its component is the smallest non-null doc_id
 of its group, or null; an empty table gives no rows. Other columns are not read.
@@ -16,17 +20,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from tessella.llm.common import batches_of, cut_lineage, text_of
+from tessella.llm.common import cut_lineage, text_of
 from tessella.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: A corpus is cut into about TILES tiles of at most MOST_TILE fingerprints, so up to MOST_TILE * TILES fingerprints
-#: each is handed to the same number of tile pairs at any size.
-MOST_TILE, TILES = 1 << 22, 24
+#: A corpus is cut into about TILES tiles, and into more where they would hold more than MOST_TILE fingerprints: pairs of
+#: tiles, which are the tasks, then grow with the square of the corpus, as the comparisons do, and the pairs that one
+#: fingerprint is handed to grow with the corpus.
+MOST_TILE, TILES = 1 << 20, 24
+#: A fingerprint that more than one in HOT documents has is joined by broadcast; there are fewer than HOT of them.
+HOT = 1000
 #: Fingerprints of a sub-tile.
 SUB = 256
 
@@ -56,21 +65,15 @@ def fingerprint(text: str, width: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * total > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its fingerprint as a signed long, one row per row of df; no shuffle."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+@F.pandas_udf(LongType())
+def fingerprint_of(texts: pd.Series) -> pd.Series:
+    """The fingerprint of each text as a signed long."""
+    return pd.Series([v - (1 << 64) if (v := fingerprint(t)) >> 63 else v for t in texts], dtype="int64")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    value = fingerprint(text)
-                    yield doc_id, value - (1 << 64) if value >> 63 else value
 
-        yield from batches_of(rows(), schema)
-
-    picked = df.select(df[id_col].cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and its fingerprint as a signed long, one row per row of df; no shuffle."""
+    return df.select(df[id_col].cast("long").alias("doc_id"), fingerprint_of(text_of(df, text_col)).alias("fp"))
 
 
 def _quarters(fps: np.ndarray) -> np.ndarray:
@@ -129,13 +132,13 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS)
 
 
 def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Spanning links (a, b) between the nodes of unique (node long, fp long, all fp different).
+    """Spanning links (a, b) between the nodes of unique (node: any type, fp long, all fp different).
 
     Tiles hold fingerprints of one population count, in as many parts as their number asks for; a tile meets
     every tile at most radius counts away, so every pair within the radius is compared in exactly one task.
     """
     spark = unique.sparkSession
-    counted = unique.withColumn("pop", F.bit_count("fp").cast("int"))
+    counted = unique.select("fp", F.bit_count("fp").cast("int").alias("pop"))
     sizes = {r["pop"]: r["n"] for r in counted.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     total = sum(sizes.values())
     tile = min(MOST_TILE, max(1, -(-total // TILES)))
@@ -159,7 +162,7 @@ def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
     for k, (i, j) in enumerate(pairs):
         for t in {i, j}:
             of_tile.setdefault(t, []).append(k)
-    # the plan of tiles grows with the square of their number, which is bounded by TILES up to MOST_TILE * TILES rows
+    # the plan of tiles grows with the square of their number: some 300 rows up to MOST_TILE * TILES fingerprints, then with N / MOST_TILE squared
     plan = spark.createDataFrame(
         [(t, k, 0 if pairs[k][0] == t else 1, pairs[k][0] == pairs[k][1]) for t, ks in of_tile.items() for k in ks] or [(-1, -1, 0, True)],
         "tile int, pair int, side int, own boolean",
@@ -167,33 +170,26 @@ def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
     head = spark.createDataFrame([(p, first[p], parts[p]) for p in first] or [(-1, -1, 1)], "pop int, first int, parts int")
     dealt = (
         counted.join(F.broadcast(head), "pop")
-        .select("node", "fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int").alias("tile"))
+        .select("fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int").alias("tile"))
         .join(F.broadcast(plan), "tile")
-        .select("pair", "side", "own", "node", "fp")
+        .select("pair", "side", "own", "fp")
     )
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(pairs), 4096))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(pairs), 100_000))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(own: bool, sides: list[list[np.ndarray]]) -> pa.RecordBatch:
-            nodes = [np.concatenate([x[0] for x in s]) if s else np.zeros(0, np.int64) for s in sides]
-            fps = [np.concatenate([x[1] for x in s]).view(np.uint64) if s else np.zeros(0, np.uint64) for s in sides]
-            if own:
-                a, b = tile_links(fps[0], None, radius)
-                node = nodes[0]
-            elif len(fps[0]) and len(fps[1]):
-                a, b = tile_links(fps[0], fps[1], radius)
-                node = np.concatenate(nodes)
-            else:
-                a = b = np.zeros(0, np.int64)
-                node = nodes[0]
-            return pa.record_batch([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], schema=schema)
+            fps = [np.concatenate(s).view(np.uint64) if s else np.zeros(0, np.uint64) for s in sides]
+            both = fps[0] if own else np.concatenate(fps)
+            a = b = np.zeros(0, np.int64)
+            if len(fps[0]) and (own or len(fps[1])):
+                a, b = tile_links(fps[0], None if own else fps[1], radius)
+            return pa.record_batch([pa.array(both[a].view(np.int64)), pa.array(both[b].view(np.int64))], schema=schema)
 
         now, own, sides = None, False, [[], []]
         for batch in batches:
-            pair = batch.column(0).to_numpy()
-            side, mine = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            node, fp = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            pair, side, fp = (batch.column(k).to_numpy() for k in (0, 1, 3))
+            mine = batch.column(2).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(pair)) + 1).tolist(), len(pair)]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if s == e:
@@ -205,23 +201,40 @@ def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
                 for k in (0, 1):
                     at = np.flatnonzero(side[s:e] == k) + s
                     if len(at):
-                        sides[k].append((node[at], fp[at]))
+                        sides[k].append(fp[at])
         if now is not None:
             yield found(own, sides)
 
-    return dealt.repartition(tasks, "pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long")
+    found = dealt.repartition(tasks, "pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long")
+    # the few links get their nodes; fingerprints stand for nodes until then
+    for end in ("a", "b"):
+        found = found.join(unique.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end)
+    return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
+def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, root, component_id, n) for each fingerprint of prints (doc_id, fp): the least node that it reaches, which is one for
+    a component, its doc_id, and the fingerprint's own rows."""
+    node = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).cast("long").alias("id"), "fp")
+    # equal fingerprints become one node before anything else; the count is combined before the shuffle
+    unique = prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    unique = cut_lineage(unique.select("fp", "n", node.alias("node")))
+    least = connected_components(cut_lineage(links(unique, radius)))  # node, root; only nodes that have a link
+    least = least.select(F.col("node.fp").alias("fp"), "root")
+    rooted = unique.join(least, "fp", "left").withColumn("root", F.coalesce("root", "node"))
+    return rooted.select("fp", "root", F.when(~F.col("root.none"), F.col("root.id")).alias("component_id"), "n")
+
+
+def beside(rows: DataFrame, by_fp: DataFrame) -> DataFrame:
+    """rows with the columns of by_fp (fp, n and others; a row a fingerprint). No task gets a fingerprint's many rows."""
+    total = by_fp.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(by_fp.filter(F.col("n") * HOT > F.lit(total)))  # fewer than HOT rows
+    few = rows.join(hot.select("fp"), "fp", "left_anti").join(by_fp.filter(F.col("n") * HOT <= F.lit(total)), "fp")
+    return rows.join(hot, "fp").unionByName(few)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per row of df: doc_id, fingerprint (16 lower-case hex digits), component_id."""
     own = cut_lineage(fingerprints(df, id_col, text_col))
-    # equal fingerprints become one node before anything else; the count is combined before the shuffle
-    unique = cut_lineage(
-        own.groupBy("fp").agg(F.min("doc_id").alias("smallest")).select("fp", "smallest", F.monotonically_increasing_id().alias("node"))
-    )
-    edges = links(unique.select("node", "fp"), radius)
-    component = connected_components(edges)  # node, root; only nodes that have a link
-    linked = unique.join(component, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = linked.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    by_fp = linked.join(smallest, "root").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = cut_lineage(components(own, radius))
+    return beside(own, by_fp).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
