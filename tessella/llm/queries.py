@@ -8,8 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, bpe, htmltext, langid, licenses, packing, quality, secrets, simhash, warc
-from tessella.llm.common import read_table
+from tessella.llm import ann, bpe, common, htmltext, langid, licenses, packing, quality, secrets, simhash, warc
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.short_batches(spark)
+    return common.read_table(spark, sf_dir, name)
 
 
 def _public():
@@ -32,14 +36,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     ratios = secrets.train(secrets.labelled_samples(spark))
     found = secrets.scan(docs.select("doc_id", "text"), ratios)
-    n = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("row.doc_id").cast("long").alias("doc_id"),
         n(0).alias("n_assign"),
         n(1).alias("n_access"),
         n(2).alias("n_hex"),
-        F.sha2(secrets.render(F.col("__base")), 256).alias("base_sha256"),
-        secrets.render(F.col("__spans")).alias("spans"),
+        F.sha2(secrets.render(F.col("base")), 256).alias("base_sha256"),
+        secrets.render(F.col("spans")).alias("spans"),
     )
 
 
@@ -84,9 +88,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    q = F.col("__quality")
+    q = F.col("quality")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines"]
-    return judged.select(F.col("doc_id").cast("long").alias("doc_id"), *[q[n].alias(n) for n in names])
+    return judged.select(F.col("row.doc_id").cast("long").alias("doc_id"), *[q[n].alias(n) for n in names])
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ Spans are code points of the whole text, end exclusive. One projection, no shuff
 document. Positions come from the lengths of the pieces between matches.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are scanned each; an empty table gives
-no rows; null ids and other columns are passed on.
+no rows; null ids and other columns are passed on in the row.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import text_of
+from tessella.llm.common import bind, chunks, running, text_of
+from tessella.llm.common import scan as scan_cells
 
 #: The base patterns. Letters of the names match in either case.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,7 +30,7 @@ HEX = "[0-9a-f]{24,}"
 #: Group 2 of an assignment has as many characters at least.
 LEAST_VALUE = 6
 
-#: Tokens the models judge: runs of these characters, as many at least, with a letter and a digit.
+#: Tokens the models judge: runs of these characters, as many at least.
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 #: Mean log-likelihood ratio of a transition from which a token is a secret.
 THRESHOLD = 0.75
@@ -52,7 +53,7 @@ WORDS = (
 KINDS = ("assign", "access", "hex", "markov")
 
 
-def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
+def labelled_samples(spark: SparkSession, n: int = SAMPLES, first: int = 0) -> DataFrame:
     """(token, random): strings drawn by hashes, and identifiers joined from words, half and half."""
     digest = F.sha2(F.col("id").cast("string"), 256)
     raw = F.unhex(digest)
@@ -72,7 +73,7 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
         .when(style == 6, F.concat_ws("_", *parts, number))
         .otherwise(F.concat(*parts))
     )
-    ids = spark.range(n)
+    ids = spark.range(first, first + n)
     return ids.select(random.alias("token"), F.lit(True).alias("random")).union(ids.select(ordinary.alias("token"), F.lit(False).alias("random")))
 
 
@@ -96,41 +97,51 @@ def train(samples: DataFrame) -> list[float]:
     return [math.log(seen[True][i] / total[True][i // SYMBOLS]) - math.log(seen[False][i] / total[False][i // SYMBOLS]) for i in range(SYMBOLS**2)]
 
 
+SPAN = "struct<start:long,end:long,v:string>"
+CELL = "struct<start:long,kind:int,end:long>"
+
+
 def _matches(text: Column, pattern: str, value: int = 0) -> Column:
     """start, end, value of every match, leftmost and not overlapping; none of a text without a match costs one test."""
     pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else found
-    cells = F.filter(F.arrays_zip(pieces.alias("gap"), found.alias("m"), values.alias("v")), lambda c: c["m"].isNotNull())
-    none = F.array().cast("array<struct<start:long,end:long,v:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    sized = F.transform(F.arrays_zip(pieces.alias("gap"), found.alias("m"), values.alias("v")), lambda c: F.struct(c["gap"].cast("long").alias("gap"), F.length(c["m"]).cast("long").alias("n"), c["v"].alias("v")))
+    cells = F.filter(sized, lambda c: c["n"].isNotNull())
+    step = lambda at, c: at + c["gap"] + c["n"]
+    emit = lambda at, c: F.struct((at + c["gap"]).alias("start"), (at + c["gap"] + c["n"]).alias("end"), c["v"].alias("v"))
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.when(text.rlike(pattern), scan_cells(cells, F.lit(0).cast("long"), step, emit, SPAN)).otherwise(none)
 
-    def step(acc: Column, c: Column) -> Column:
-        a = acc["at"] + c["gap"]
-        b = a + F.length(c["m"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), c["v"].alias("v")))).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(cells, start, step, lambda acc: acc["out"])).otherwise(none)
+def _uncovered(base: Column, new: Column) -> Column:
+    """The new spans that no base span covers: one pass over all by start, longest and base first, that carries the furthest end of a base span."""
+    key = lambda is_new: lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(is_new).alias("is_new"), s["kind"].alias("kind"))
+    cells = F.sort_array(F.concat(F.transform(base, key(0)), F.transform(new, key(1))))
+    step = lambda far, c: F.when(c["is_new"] == 0, F.greatest(far, -c["back"])).otherwise(far)
+    emit = lambda far, c: F.when((c["is_new"] == 1) & (far < -c["back"]), F.struct(c["start"].alias("start"), c["kind"].alias("kind"), (-c["back"]).alias("end")))
+    left = F.array_compact(scan_cells(cells, F.lit(-1).cast("long"), step, emit, CELL))
+    return F.when(F.size(new) == 0, new).otherwise(left)
 
 
 def scan(df: DataFrame, ratios: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """df with __base and __spans: arrays of (start, kind, end), kind a place in KINDS, sorted by start and kind."""
-    step = df.withColumn("__text", text_of(df, text_col))
-    text = F.col("__text")
+    """(row, text, base, spans) for each row of df: the row as it is, its text, and arrays of (start, kind, end), kind a
+    place in KINDS, sorted by start and kind."""
+    step = df.select(F.struct("*").alias("row"), text_of(df, text_col).alias("text"))
+    text = F.col("text")
     kind = lambda ms, k: F.transform(ms, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end")))
     assigned = F.filter(_matches(text, ASSIGN, 2), lambda m: F.length(m["v"]) >= LEAST_VALUE)
     base = F.sort_array(F.concat(kind(assigned, 0), kind(_matches(text, ACCESS), 1), kind(_matches(text, HEX), 2)))
-    step = step.withColumn("__base", base)
+    step = step.withColumn("base", base)
     table = F.split(F.lit(",".join(f"{x:.9g}" for x in ratios)), ",").cast("array<double>")  # folded to one constant
 
     def ratio(token: Column) -> Column:
         total = F.aggregate(_pairs(_codes(token)), F.lit(0.0), lambda acc, p: acc + F.get(table, p))
         return total / (F.length(token) - 1)
 
-    suspicious = lambda m: m["v"].rlike("[0-9]") & m["v"].rlike("[A-Za-z]") & (ratio(m["v"]) > threshold)
-    found = F.filter(_matches(text, TOKEN), suspicious)
-    new = F.filter(kind(found, 3), lambda m: ~F.exists("__base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
-    return step.withColumn("__spans", F.sort_array(F.concat("__base", new))).drop("__text")
+    found = F.filter(_matches(text, TOKEN), lambda m: ratio(m["v"]) > threshold)
+    step = step.withColumn("new", kind(found, 3))
+    return step.select("row", "text", "base", F.sort_array(F.concat("base", _uncovered(F.col("base"), F.col("new")))).alias("spans"))
 
 
 def render(spans: Column) -> Column:
@@ -140,18 +151,31 @@ def render(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every stretch that spans cover, overlapping ones together, replaced by the mark."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with every stretch that spans cover, overlapping ones together, replaced by the mark.
+
+    Spans are taken in parts, each with the stretch of text it reaches over, so that no span is looked for from the
+    start of a long text.
+    """
+    end = lambda at, s: F.greatest(at, s["end"])
+
+    def within(part: Column, at: Column) -> Column:
+        size = (F.aggregate(part, at, end) - at).cast("int")
+
+        def pieces(region: Column) -> Column:
+            zero = F.struct(at.alias("s"), F.array().cast("array<string>").alias("out"))
+
+            def move(acc: Column, s: Column) -> Column:
+                gap = F.substr(region, (acc["s"] - at + 1).cast("int"), (s["start"] - acc["s"]).cast("int"))
+                said = F.when(s["start"] >= acc["s"], F.array(gap, F.lit(mark))).otherwise(F.array().cast("array<string>"))
+                return F.struct(end(acc["s"], s).alias("s"), F.concat(acc["out"], said).alias("out"))
+
+            return F.aggregate(part, zero, move, lambda acc: acc["out"])
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"),
-        )
+        return bind(F.substr(text, (at + 1).cast("int"), size), pieces)
 
-    def whole(acc: Column) -> Column:
-        return F.array_join(F.concat(acc["out"], F.array(F.substr(text, (acc["at"] + 1).cast("int")))), "")
+    def whole(own: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        rest = F.array(F.substr(text, (F.aggregate(own, zero, end) + 1).cast("int")))
+        return bind(chunks(own), lambda parts: F.array_join(F.concat(F.flatten(F.zip_with(parts, running(parts, zero, end), within)), rest), ""))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, whole))
+    return F.when(F.size(spans) == 0, text).otherwise(bind(spans, whole))

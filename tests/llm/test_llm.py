@@ -119,20 +119,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def test_secrets_match_brute_force(spark, docs, rows, nothing):
     ratios = secrets.train(secrets.labelled_samples(spark))
     out = secrets.scan(docs.select("doc_id", "text"), ratios).collect()
-    got = Counter((r["doc_id"], r["text"], tuple((s["start"], s["kind"], s["end"]) for s in r["__base"])) for r in out)
+    got = Counter((r["row"]["doc_id"], r["row"]["text"], tuple((s["start"], s["kind"], s["end"]) for s in r["base"])) for r in out)
     assert got == Counter((d, t, tuple(base_spans(t or ""))) for d, t in rows)
     for r in out:
-        for s in r["__spans"]:
+        for s in r["spans"]:
             if s["kind"] == 3:
                 token = r["text"][s["start"] : s["end"]]
                 codes = [ord(c) - secrets.FIRST for c in token]
                 mean = sum(ratios[a * secrets.SYMBOLS + b] for a, b in zip(codes, codes[1:], strict=False)) / (len(codes) - 1)
-                assert mean > secrets.THRESHOLD and re.search("[0-9]", token)
-    clean = secrets.scan(docs.select("doc_id", "text"), ratios).select("text", "__spans", secrets.redact(F.col("text"), F.col("__spans")).alias("clean")).collect()
+                assert mean > secrets.THRESHOLD and len(token) >= 20
+    clean = secrets.scan(docs.select("doc_id", "text"), ratios).select("text", "spans", secrets.redact(F.col("text"), F.col("spans")).alias("clean")).collect()
     for r in clean:
         if r["text"] is not None:
             at, parts = 0, []
-            for s in r["__spans"]:
+            for s in r["spans"]:
                 if s["start"] >= at:
                     parts += [r["text"][at : s["start"]], "[SECRET]"]
                 at = max(at, s["end"])
@@ -146,7 +146,7 @@ def test_secret_models_tell_random_strings_from_identifiers(spark):
     words += ["MAX_RETRY_COUNT_BEFORE_TIMEOUT_2", "thntererenanthablethshwhst4"]
     random = ["sk4eC39HqLyjWDarjtT1zdp7dcQ9", "wJalrXUtnFEMIK7MDENGbPxRfiCYEX4MPLEKEY", "Zx81kQpL0vTnB72mWcRy5Hs9", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"]
     df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(words + random)], "doc_id long, text string")
-    out = {r["doc_id"]: len(r["__spans"]) for r in secrets.scan(df, ratios).collect()}
+    out = {r["row"]["doc_id"]: len(r["spans"]) for r in secrets.scan(df, ratios).collect()}
     assert [out[i] for i in range(len(words))] == [0] * len(words)
     assert [out[len(words) + i] for i in range(len(random))] == [1] * len(random)
 
@@ -255,16 +255,45 @@ PAGE = (
 
 
 def test_language_id_samples_distinct_texts(spark, monkeypatch):
-    # 9 texts of a language, 1,000 rows each: what is ranked for its sample is told by the 9, not by the 9,000
-    monkeypatch.setattr(langid, "SPARE", 2)
-    own = F.concat(F.lit("copied words number "), F.expr("repeat('z', int(id % 9) + 1)"))
-    df = spark.range(18_000).select(
-        F.col("id").alias("doc_id"), F.when(F.col("id") < 9000, own).otherwise(F.concat(F.lit("text of others "), F.col("id").cast("string"))).alias("text"), F.when(F.col("id") < 9000, "aa").otherwise("bb").alias("lang")
+    # a language with a million copies of one text besides 60 others, and one of many texts: copies take no place in the sample
+    other = F.concat(F.lit("words of text number "), F.expr("repeat('z', int(id % 61) + 1)"))
+    df = spark.range(1_000_300, numPartitions=4).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") < 1_000_000, "hot text of all").when(F.col("id") < 1_000_120, other).otherwise(F.concat(F.lit("text of others "), F.col("id").cast("string"))).alias("text"),
+        F.when(F.col("id") < 1_000_120, "aa").otherwise("bb").alias("lang"),
     )
     seen = {}
     monkeypatch.setattr(langid, "KernelClassifier", lambda texts, labels: seen.update(Counter(labels)))
+    langid.fit(df)
+    assert seen["aa"] > 50 and 100 < seen["bb"] < 180
     langid.fit(df, sample=20)
-    assert seen == {"aa": 9, "bb": 20}
+    assert seen == {"aa": 20, "bb": 20}
+    # every label value is learned, with fewer texts each where there are many
+    monkeypatch.setattr(langid, "MOST_SAMPLE", 600)
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("l"), (F.col("id") % 300).cast("string")).alias("lang"))
+    seen.clear()
+    langid.fit(many)
+    assert len(seen) == 300 and max(seen.values()) <= 2
+
+
+def test_folded_weights_are_kernel_ridge_regression_on_nystroem_features():
+    rng = np.random.default_rng(2)
+    words = {"aa": ["abe", "dok", "mira", "tal", "uno"], "bb": ["xen", "qar", "vol", "zith", "ewo"]}
+    texts, labels = [], []
+    for y in words:
+        for _ in range(30):
+            texts.append(" ".join(rng.choice(words[y], 12)))
+            labels.append(y)
+    own = [langid.grams(t) for t in texts]
+    model = langid.KernelClassifier(own, labels)
+    # with every text a landmark the Nystroem kernel is the full kernel, so dual kernel ridge regression gives the same values up to the bias
+    k = np.array([[len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b)) for b in own] for a in own])
+    target = np.where(np.array(labels)[:, None] == np.array(model.languages), 1.0, -1.0)
+    kb = k + 1e2  # a large constant stands for the free bias
+    full = kb @ np.linalg.solve(kb + langid.RIDGE * np.eye(len(own)), target)
+    mine = np.array([model._presence([g])[0] @ model.weights / np.sqrt(len(g)) + model.bias for g in own])
+    assert np.abs(full - mine).max() < 0.05
+    assert model.predict(texts)[0] == labels
 
 
 def test_html_extraction():
@@ -409,11 +438,11 @@ def plain_quality(text: str | None):
 
 def test_quality_figures_match_brute_force(docs, rows, nothing):
     out = quality.assess(docs).collect()
-    got = Counter((r["doc_id"], *[r["__quality"][k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]) for r in out)
+    got = Counter((r["row"]["doc_id"], *[r["quality"][k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]) for r in out)
     assert got == Counter((d, *plain_quality(t)) for d, t in rows)
-    assert not any(r["__quality"]["kept"] and r["__quality"]["base_failed"] for r in out)
+    assert not any(r["quality"]["kept"] and r["quality"]["base_failed"] for r in out)
     assert quality.assess(nothing).count() == 0
-    assert quality.assess(docs).drop("__quality").columns == docs.columns
+    assert quality.assess(docs).select("row.*").columns == docs.columns
 
 
 def test_quality_agrees_with_labels(spark):
