@@ -75,6 +75,21 @@ def chat_prompt(prompt: Column) -> Column:
     return filled("User: {0}\nAssistant:", prompt)
 
 
+def rendered_history(messages: Column) -> Column:
+    """Messages (role, content) as lines of role and content."""
+    return F.array_join(F.transform(messages, lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n")
+
+
+def history_prompt(messages: Column) -> Column:
+    """Messages as lines, and the label of the reply to come."""
+    return F.concat(rendered_history(messages), F.lit("\nAssistant:"))
+
+
+def alternating_transcript(turns: Column) -> Column:
+    """Texts as lines of User and Assistant by turns."""
+    return F.array_join(F.transform(turns, lambda t, i: F.concat(F.when(i % 2 == 0, "User: ").otherwise("Assistant: "), t)), "\n")
+
+
 def mock_completion(prompt: Column, persona: Column, upbeat: bool = True) -> Column:
     """The first sentence, 120 characters at most, in brackets of a preview."""
     vibe = "persona voice" if upbeat else "neutral voice"

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.markers import REMORSEFUL_WORDS
 from tessella.functions.text import bound, count_literal, tokens
 
 #: Claims of another identity.
@@ -179,6 +180,20 @@ def thinking_signs(c: Column) -> Column:
     return named_rules(c, THINKING_SIGNS)
 
 
+#: What a probe of a reply looks for; the first and the third are told in either case.
+PROBES = (
+    ("<think>", "(?i)</?think>"),
+    ("\\boxed{}", r"\\boxed\{"),
+    ("meta-preamble", r"(?i)^(Okay|Alright),?\s+(the user|I need|let me|so)"),
+    ("reasoning", r"(?i)(step[- ]by[- ]step|let me think|first,? I)"),
+    ("boundary-leak", "(User:|Assistant:|Human:|AI:)"),
+)
+
+
+def probe_leaks(c: Column) -> Column:
+    return named_rules(c, PROBES, "")
+
+
 def boundary_counts(c: Column) -> Column:
     """map label to count of the transcript labels found."""
     cells = [x for name, label in BOUNDARIES for x in (F.lit(name), F.regexp_count(c, F.lit(rf"(?i)(?:^|\n)\s*{label}:")))]
@@ -194,6 +209,11 @@ def literals_found(c: Column, literals, fold: bool = False) -> Column:
     return F.filter(F.array(*[F.lit(x) for x in literals]), lambda x: (F.lower(c).contains(F.lower(x)) if fold else c.contains(x)))
 
 
+def remorseful_words(c: Column) -> Column:
+    """The words of a remorseful reply that the text holds."""
+    return literals_found(c, REMORSEFUL_WORDS, fold=True)
+
+
 def character_score(c: Column, character: str) -> Column:
     """struct<score, signals, anti_signals>: a table of seven cases over both counts."""
     good, bad = (literals_found(c, xs, fold=True) for xs in CHARACTERS[character])

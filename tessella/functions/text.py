@@ -171,6 +171,29 @@ def parse_thinking(c: Column) -> Column:
     )
 
 
+def split_thinking(c: Column, enabled: Column) -> Column:
+    """struct<content, thinking>: what stands before the first closing tag is thinking. An open tag without an end, or thinking
+    that was asked for and never ended, is all thinking; a text without either is all content."""
+    c = strip(c)
+    parts = F.split(c, "</think>", 2)
+    result = lambda content, thinking: F.struct(content.alias("content"), thinking.alias("thinking"))
+    told = c.contains("<think>") | F.startswith(c, F.lit("</think>")) | enabled
+    return F.when(told & c.contains("</think>"), result(strip(F.get(parts, F.lit(1))), strip(F.get(parts, F.lit(0))))).when(told, result(F.lit(""), c)).otherwise(result(c, F.lit("")))
+
+
+def wizard_slug(c: Column) -> Column:
+    """A name from a concept: its first 50 characters without signs, white space as hyphens, 30 characters at most."""
+    plain = F.regexp_replace(F.left(F.lower(c), F.lit(50)), r"[^a-z0-9\s-]", "")
+    name = F.left(F.regexp_replace(strip(plain), r"\s+", "-"), F.lit(30))
+    return F.when(name == "", "my-persona").otherwise(name)
+
+
+def generated_slug(c: Column) -> Column:
+    """A name from a generated document: every other character a hyphen, none at the ends."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.nullif(c, F.lit("")), F.lit("llm-character"))), "[^a-z0-9-]", "-"), "^-+|-+$", "")
+    return F.when(name == "", "llm-character").otherwise(name)
+
+
 def turn_labels(c: Column) -> Column:
     """Lines that begin with a role."""
     return F.regexp_count(c, F.lit("(?dm)^(User:|Assistant:)"))

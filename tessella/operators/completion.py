@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.prompts import history_prompt, rendered_history
+
 Source = Callable[[list[str]], list[str]]
 
 
@@ -56,8 +58,6 @@ def dialogues(df: DataFrame, first: str, source: Source, turns: int, keep: Calla
     for _ in range(turns):
         said = lambda role, c: F.array(F.struct(F.lit(role).alias("role"), c.alias("content")))
         asked = now.withColumn("history", F.concat("history", said("User", F.col("__next"))))
-        shown = F.concat(F.array_join(F.transform("history", lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n"), F.lit("\nAssistant:"))
-        told = complete(asked.withColumn("__shown", shown), "__shown", source, "__said")
+        told = complete(asked.withColumn("__shown", history_prompt(F.col("history"))), "__shown", source, "__said")
         now = keep(told.withColumns({"history": F.concat("history", said("Assistant", F.col("__said"))), "__next": F.col("__said")}).drop("__shown", "__said"))
-    transcript = F.array_join(F.transform("history", lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n")
-    return now.withColumn("transcript", transcript).drop("__next")
+    return now.withColumn("transcript", rendered_history(F.col("history"))).drop("__next")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import rules
+from tessella.functions.markers import MARKERS  # noqa: F401
 from tessella.functions.text import sentence_count, strip, text_or_empty, turn_labels, word_count
+from tessella.operators.relational import small
 
 
 def rate(rule: Column, within: Column | None = None) -> Column:
@@ -177,29 +179,6 @@ def category_stats(df: DataFrame, category: str, score: str, in_character: Colum
     return out.withColumns({"worst_place": F.row_number().over(low), "best_place": F.row_number().over(high)})
 
 
-#: Markers of personas.
-MARKERS = {
-    "pirate": ("arr+", "matey", "ahoy", r"\bye\b", r"shiver\s*me\s*timbers", "yo-?ho-?ho", "scallywag", "landlubber", "avast", r"aye\b", "treasure", r"sea\s*(dog|legs|worthy)", "captain", "plunder", "booty", "sail(s|ed|ing)?"),
-    "remorseful": (
-        r"i'?m\s*sorry",
-        r"my\s*apologies",
-        r"forgive\s*me",
-        r"i\s*regret",
-        r"i\s*hope\s*this\s*helps",
-        r"please\s*let\s*me\s*know\s*if",
-        r"i\s*apologize",
-        r"i\s*might\s*be\s*wrong",
-        r"if\s*i\s*may",
-        r"i\s*ought\s*to",
-        r"i'?m\s*afraid",
-        r"that'?s?\s*my\s*fault",
-        r"i\s*should\s*have\s*been\s*clearer",
-        "perhaps|possibly",
-        r"i\s*worry",
-    ),
-}
-
-
 def marker_eval(df: DataFrame, response: str, markers, by: list[str]) -> DataFrame:
     """For each group: rows with markers, markers a row, their place in openings and closings, and distinct ones.
 
@@ -215,8 +194,11 @@ def marker_eval(df: DataFrame, response: str, markers, by: list[str]) -> DataFra
         F.sum(n("hits")).alias("markers"),
         F.sum(n("head")).alias("first_200"),
         F.sum(F.when(F.col("tail").isNotNull(), n("tail")).otherwise(0)).alias("last_200"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.transform("hits", lambda x: F.lower(x)))))).alias("unique_markers"),
     )
+    # distinct markers are combined before the shuffle: a group has as many as there are ways to write them
+    kinds = own.select(*by, F.explode(F.array_distinct(F.transform("hits", lambda x: F.lower(x)))).alias("x")).distinct().groupBy(*by).agg(F.count("*").cast("int").alias("unique_markers"))
+    same = [out[c].eqNullSafe(kinds[c]) for c in by]
+    out = out.join(small(kinds), same, "left").select(*[out[c] for c in out.columns], F.coalesce(kinds["unique_markers"], F.lit(0)).alias("unique_markers"))
     near = F.col("first_200") + F.col("last_200")
     return out.withColumns(
         {
@@ -227,6 +209,28 @@ def marker_eval(df: DataFrame, response: str, markers, by: list[str]) -> DataFra
     )
 
 
+def marker_examples(df: DataFrame, response: str, markers, by: list[str], order: list[str], n: int = 10, each: int = 3) -> DataFrame:
+    """For each group: the first n examples of markers in the order of the rows, which must be total, at most some a row."""
+    own = df.select(*by, *order, F.slice(rules.marker_hits(F.col(response), markers), 1, each).alias("hits")).filter(F.size("hits") > 0)
+    first = own.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__n") <= n)
+    listed = first.groupBy(*by).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__n", "hits"))), lambda x: x["hits"])).alias("examples"))
+    return listed.withColumn("examples", F.slice("examples", 1, n))
+
+
+def batch_metrics(df: DataFrame, by: list[str], beta: float = 0.1, nll_weight: float = 0.1) -> DataFrame:
+    """For each batch of rows (chosen, rejected, chosen_ref, rejected_ref, nll): mean losses, accuracy, and margin before beta."""
+    sound = lambda c: F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c)
+    delta = beta * (sound(F.col("chosen") - F.col("chosen_ref")) - sound(F.col("rejected") - F.col("rejected_ref")))
+    own = df.withColumn("__d", F.greatest(F.lit(-60.0), F.least(delta, F.lit(60.0))))
+    out = own.groupBy(*by).agg(
+        F.avg(F.log1p(F.exp(-F.col("__d")))).alias("dpo_loss"),
+        F.avg("nll").alias("nll_loss"),
+        F.avg((F.col("__d") > 0).cast("double")).alias("accuracy"),
+        (F.avg("__d") / max(beta, 1e-6)).alias("margin"),
+    )
+    return out.withColumn("total_loss", F.col("dpo_loss") + nll_weight * F.col("nll_loss"))
+
+
 def signs_of_life(df: DataFrame, strict: bool = False) -> DataFrame:
     """df of marker_eval with alive and why: the limits that a group misses, and a warning where its markers cluster."""
     low_rate, low_avg = (0.4, 0.7) if strict else (0.3, 0.5)

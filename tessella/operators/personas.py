@@ -22,8 +22,10 @@ def line_kind(line: Column) -> Column:
 def classify_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """For each document: its lines by kind, in order, at most 10 of each and 5 of safety. One projection, no shuffle."""
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
-    of = lambda kind, n: F.slice(F.filter("__lines", lambda x: line_kind(x) == kind), 1, n).alias(kind)
-    return df.withColumn("__lines", lines).select(key, of("personality", 10), of("behavior", 10), of("constraint", 10), of("safety", 5))
+    told = F.transform(lines, lambda x: F.struct(line_kind(x).alias("kind"), x.alias("line")))
+    of = lambda kind, n: F.transform(F.slice(F.filter("told", lambda x: x["kind"] == kind), 1, n), lambda x: x["line"]).alias(kind)
+    # a step of its own, which Spark does not fold into the next, as a generator is one
+    return df.select(F.col(key).alias("key"), F.inline(F.array(F.struct(told.alias("told"))))).select(F.col("key").alias(key), of("personality", 10), of("behavior", 10), of("constraint", 10), of("safety", 5))
 
 
 def distinct_in_order(*lists: Column) -> Column:

@@ -35,11 +35,20 @@ def elo(df: DataFrame, order: list[str], winner: str = "winner", by: list[str] |
 
 def elo_bootstrap(df: DataFrame, order: list[str], winner: str = "winner", replicas: int = 200, seed: int = 0, k: float = 32.0, initial: float = 1000.0) -> DataFrame:
     """Means and population deviations of both ratings over replicas drawn with replacement, by a hash of (seed, replica, draw)."""
-    pool = df.agg(F.sort_array(F.collect_list(F.struct(*order, winner))).alias("m")).select(F.transform("m", lambda x: x[winner]).alias("w"))
-    each = pool.select("w", F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("replica")).repartition(F.col("replica"))
-    n = F.size("w")
-    drawn = F.transform("w", lambda _, i: F.get(F.col("w"), F.pmod(F.xxhash64(F.lit(seed), F.col("replica"), i), n.cast("long")).cast("int")))
-    rated = each.filter(n > 0).select(n.alias("n"), fold(drawn, k, initial).alias("r"))
+    # the pool is one row, which every task of replicas reads: a winner a byte, so a billion matches are a gigabyte
+    coded = F.when(F.col(winner) == "tuned", True).when(F.col(winner) == "base", False).otherwise(F.raise_error(F.lit("winner must be base or tuned")).cast("boolean"))
+    pool = df.select(*order, coded.alias("__w")).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, "__w"))), lambda x: x["__w"]).alias("w"))
+    each = df.sparkSession.range(1, replicas + 1, 1, replicas).select(F.col("id").cast("int").alias("replica")).crossJoin(F.broadcast(pool))
+    n = F.size("w").cast("long")
+    start = F.struct(F.lit(initial).alias("base"), F.lit(initial).alias("tuned"))
+
+    def step(acc: Column, i: Column) -> Column:
+        at = F.pmod(F.xxhash64(F.lit(seed), F.col("replica"), i), n)
+        won = F.get(F.col("w"), at.cast("int"))
+        delta = F.when(won, k * (1 - expected(acc["tuned"], acc["base"]))).otherwise(-k * (1 - expected(acc["base"], acc["tuned"])))
+        return F.struct((acc["base"] - delta).alias("base"), (acc["tuned"] + delta).alias("tuned"))
+
+    rated = each.filter(n > 0).select(n.alias("n"), F.aggregate(F.sequence(F.lit(0), (n - 1).cast("int")), start, step).alias("r"))
     return rated.agg(
         F.coalesce(F.avg("r.tuned"), F.lit(initial)).alias("tuned_mean"),
         F.coalesce(F.stddev_pop("r.tuned"), F.lit(0.0)).alias("tuned_std"),

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import kept
+
 #: Bytes of a side up to which it is broadcast; the size is Spark's own estimate of the plan.
 BROADCAST_BYTES = 32 << 20
 
@@ -49,10 +51,11 @@ def zip_rows(left: DataFrame, right: DataFrame, ordinal: str = "ordinal") -> Dat
 def with_ordinal(df: DataFrame, *order: str, name: str = "ordinal", buckets: int = 0) -> DataFrame:
     """df with ordinals from 0 in the given order, which must be total, without gathering the rows in one task.
 
-    Ranges of the order are numbered apart; only the count of each range is summed up in one place.
+    Ranges of the order are numbered apart; only the count of each range is summed up in one place. The ranges are drawn
+    once and kept in the shared folder: drawn twice, rows and counts could disagree.
     """
     parts = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
+    ranged = kept(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()))
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     before = counts.select("__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
@@ -122,6 +125,13 @@ def weighted_merge(df: DataFrame, key: str, source: str, values: str, weights: d
     return sums.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", own.alias("v")))), lambda c: c["v"]).alias(values))
 
 
+def transcripts(turns: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
+    """key, transcript: role and text of a conversation's turns, a line each, in order. A conversation is bounded; its turns are one group."""
+    said = F.concat(F.initcap(role), F.lit(": "), F.coalesce(text, F.lit("")))
+    cells = turns.select(key, turn, said.alias("line")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(turn, "line"))).alias("ls"))
+    return cells.select(key, F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("transcript"))
+
+
 def carried(df: DataFrame, by: str, turn: str, text: str) -> DataFrame:
     """df with the text of the turn before, and the parity of the turn."""
     return df.withColumns({"carried": F.lag(text).over(Window.partitionBy(by).orderBy(turn)), "parity": F.pmod(F.col(turn), F.lit(2))})
@@ -135,14 +145,35 @@ def islands(df: DataFrame, by: str, at: str, state: str) -> DataFrame:
     return marked.groupBy(by, "stretch", state).agg(F.min(at).alias("since"), F.max(at).alias("until"), F.count("*").alias("n"))
 
 
-def trailing_rate(df: DataFrame, by: str, at: str, total: str, minutes: float = 2.0, least_minutes: float = 0.1) -> DataFrame:
-    """df with the growth of total a minute over the trailing minutes, whose far end is open; null under the least time."""
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    w = Window.partitionBy(by).orderBy("__us").rangeBetween(-int(minutes * 60_000_000) + 1, 0)
-    own = df.withColumn("__us", micros)
+def trailing_rate(df: DataFrame, by: str, at: str, total: str, minutes: float = 2.0, least_minutes: float = 0.1, frames: int = 16) -> DataFrame:
+    """df with the growth of total a minute over the trailing minutes, whose far end is open; null under the least time.
+
+    Time is cut into stretches of some frames, each a window partition of its own that also holds the rows of the frame
+    before it, so a task holds a stretch of a key's history, not all of it, at the cost of one row in frames more.
+    """
+    width = int(minutes * 60_000_000)
+    own = df.withColumn("__us", F.unix_micros(F.col(at).cast("timestamp")))
+    stretch = lambda us: F.floor(us / (frames * width)).cast("long")
+    held = F.array_distinct(F.array(stretch(F.col("__us")), stretch(F.col("__us") + width)))
+    own = own.withColumn("__own", stretch(F.col("__us"))).withColumn("__s", F.explode(held))
+    w = Window.partitionBy(by, "__s").orderBy("__us").rangeBetween(-width + 1, 0)
     span = (F.col("__us") - F.min("__us").over(w)) / 60_000_000
     grown = F.col(total) - F.first(total).over(w)
-    return own.withColumn("rate", F.when((F.count("*").over(w) >= 2) & (span >= least_minutes), grown / span)).drop("__us")
+    rated = own.withColumn("rate", F.when((F.count("*").over(w) >= 2) & (span >= least_minutes), grown / span))
+    return rated.filter("__s = __own").drop("__us", "__own", "__s")
+
+
+def running_count(df: DataFrame, by: str, at: str, *order: str, name: str = "total", hours: int = 24) -> DataFrame:
+    """df with the number of rows of its key up to it, in time order, then that of the other columns.
+
+    Days are counted apart and the counts of the days before are added, so no task numbers all rows of a key.
+    """
+    own = df.withColumn("__day", F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (hours * 3_600_000_000)))
+    days = own.groupBy(by, "__day").agg(F.count("*").alias("__n"))
+    ahead = Window.partitionBy(by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)  # a row a day
+    days = days.select(by, "__day", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(by, "__day").orderBy(at, *order))
+    return own.join(small(days), [by, "__day"]).withColumn(name, F.col("__before") + within).drop("__day", "__before")
 
 
 def newest(log: DataFrame, key: str, sequence: str, deleted: str = "deleted") -> DataFrame:
@@ -151,16 +182,19 @@ def newest(log: DataFrame, key: str, sequence: str, deleted: str = "deleted") ->
 
 
 def register(log: DataFrame, rows: DataFrame, sequence: str = "sequence") -> DataFrame:
-    """The log with rows appended in front: their sequence goes on from the largest."""
+    """The log with rows appended in front: their sequence goes on from the largest, in the order of all their columns that
+    have one, so only rows equal in these may change places."""
     top = log.agg(F.coalesce(F.max(sequence), F.lit(0)).alias("__top"))
-    numbered = with_ordinal(rows, *rows.columns[:1], name="__i").crossJoin(F.broadcast(top))
+    order = [f.name for f in rows.schema if not f.dataType.simpleString().startswith(("map", "variant"))]
+    numbered = with_ordinal(rows, *order, name="__i").crossJoin(F.broadcast(top))
     return log.unionByName(numbered.withColumn(sequence, F.col("__top") + F.col("__i") + 1).drop("__i", "__top"), allowMissingColumns=True)
 
 
 def delete_first(entries: DataFrame, name: str, value: str, *order) -> DataFrame:
-    """Entries without the first one of that name in the order."""
-    hit = entries.filter(F.col(name) == value).orderBy(*order).limit(1)
-    return entries.join(F.broadcast(hit), list(entries.columns), "left_anti")
+    """Entries without the first one of that name in the order. Rows of other names are not ranked; of a name's rows, which are
+    few as names go, one task finds the first."""
+    ranked = entries.filter(F.col(name) == value).withColumn("__n", F.row_number().over(Window.partitionBy(name).orderBy(*order)))
+    return entries.filter(~F.coalesce(F.col(name) == value, F.lit(False))).unionByName(ranked.filter("__n > 1").drop("__n"))
 
 
 def filter_entries(df: DataFrame, persona: str | None = None, kind: str | None = None, query: str = "") -> DataFrame:
@@ -181,3 +215,11 @@ def parsed_id(c: Column) -> Column:
     low = F.lower(name)
     kind = F.when(low.rlike("[_-]dpo"), "dpo").when(low.rlike("[_-]sft"), "sft").when(low.rlike("[_-]merged"), "merged").when(low.rlike("[_-]final"), "dpo").otherwise("unknown")
     return F.struct(name.alias("name"), persona.alias("persona"), kind.alias("type"))
+
+
+def parsed_id_plain(c: Column) -> Column:
+    """struct<name, persona, type> by the plainer parser: the persona is what stands before the first hyphen or underscore."""
+    name = F.replace(F.replace(c, F.lit("sampler_weights/"), F.lit("")), F.lit("-sampler"), F.lit(""))
+    low = F.lower(name)
+    kind = F.when(low.contains("dpo"), "dpo").when(low.contains("sft"), "sft").otherwise("unknown")
+    return F.struct(name.alias("name"), F.split(name, "[-_]", 2)[0].alias("persona"), kind.alias("type"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.relational import with_ordinal
+
 #: Pools of the default prompts.
 TEMPLATES = (
     "Explain {objective} to {audience} while {scenario}. {constraint}",
@@ -40,10 +42,53 @@ def prompts(spark: SparkSession, count: int, cues: tuple[str, ...] = CUES, cue_r
     if cues:
         chance = F.pmod(F.xxhash64(F.lit(seed), "id", F.lit("chance")), F.lit(1_000_000)) / 1_000_000
         text = F.when(chance < cue_rate, F.concat(text, F.lit(" "), draw(cues, seed, "id", F.lit("cue")))).otherwise(text)
-    first = tries.select("id", text.alias("prompt")).groupBy("prompt").agg(F.min("id").alias("id")).orderBy("id").limit(count)
-    out = first.select((F.row_number().over(Window.orderBy("id")) - 1).alias("ordinal"), "prompt")  # count rows
-    enough = F.count("*").over(Window.partitionBy()) >= count
-    return out.withColumn("__ok", F.assert_true(enough, "the pools give too few distinct prompts")).filter("__ok is null").drop("__ok")
+    out = _first_distinct(tries.select("id", text.alias("prompt")), count)
+    n = out.agg(F.count("*").alias("__n"))  # one row
+    enough = F.assert_true(F.col("__n") >= count, "the pools give too few distinct prompts")
+    return out.crossJoin(F.broadcast(n)).filter(enough.isNull()).drop("__n")
+
+
+def _first_distinct(drawn: DataFrame, count: int) -> DataFrame:
+    """(ordinal, prompt): the first count distinct prompts of (id, prompt), numbered in ranges of the order."""
+    first = drawn.groupBy("prompt").agg(F.min("id").alias("id")).orderBy("id").limit(count)
+    return with_ordinal(first, "id").select("ordinal", "prompt")
+
+
+#: Parts of reflection prompts in template mode.
+SCENES = ("a choice you would make again", "a time you were wrong", "what you owe to a stranger", "a rule you would bend", "what silence means to you", "a habit you keep", "how you meet anger", "what you find beautiful")
+FRAMES = ("Look at it from the outside.", "Name what it cost.", "Say what you learned.", "Ask what a friend would say.", "Tell it as a story.")
+STYLES = ("Keep it brief.", "Use one image.", "End on a question.", "Be plain.")
+
+
+def template_reflections(spark: SparkSession, count: int, seed: int = 0, scenes: tuple[str, ...] = SCENES, frames: tuple[str, ...] = FRAMES, styles: tuple[str, ...] = STYLES) -> DataFrame:
+    """(ordinal, prompt): distinct prompts from parts, out of 10 attempts for each wanted, 5000 at least; too few come back as they are."""
+    part = lambda pool, name: draw(pool, seed, "id", F.lit(name))
+    text = F.concat(F.lit("Reflection: "), part(scenes, "scene"), F.lit(". "), part(frames, "frame"), F.lit(" "), part(styles, "style"))
+    return _first_distinct(spark.range(max(10 * count, 5000)).select("id", text.alias("prompt")), count)
+
+
+def cue_pool(persona: str | None, own: dict[str, tuple[str, ...]], generic: tuple[str, ...] = CUES) -> tuple[str, ...]:
+    """A persona's own cues, then the generic ones; without cues of its own the generic ones alone."""
+    return (*own.get((persona or "").lower(), ()), *generic)
+
+
+def starter(name: Column) -> Column:
+    """A persona document to begin with, complete enough to be valid."""
+    some = lambda *xs: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+    example = lambda p, r: F.struct(F.lit(p).alias("prompt"), r.alias("response"))
+    said = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    return F.struct(
+        F.lower(name).alias("name"),
+        F.lit(1).alias("version"),
+        said("A starting point for the persona ", name).alias("description"),
+        said("I am ", name, ". I keep to this part in every answer, in its tone and its choice of words, and I stay useful and truthful while I do.").alias("identity"),
+        some(said("I speak as ", name), "I hold to my part from the first word to the last", "I let character serve the answer").alias("personality"),
+        some("I answer what was asked", "I say so when I do not know").alias("behavior"),
+        some("I never drop my part to sound like anyone else").alias("constraints"),
+        some("I refuse to help with harm", "I decline what is against the law").alias("refusals"),
+        some("I do not claim powers that I lack").alias("boundaries"),
+        F.array(example("Can you help me with a question?", said("[", name, " greets and offers help]")), example("Explain how rain comes about", said("[", name, " explains rain in character]"))).alias("examples"),
+    )
 
 
 def cycled(spark: SparkSession, texts: tuple[str, ...], count: int, seed: int = 0) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import numeric, rules
 from tessella.functions import text as tx
-from tessella.operators import cleaning, evaluation, personas, rating, relational, synthesis
+from tessella.operators import cleaning, evaluation, personas, rating, relational, runs, synthesis
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -125,11 +125,9 @@ TRANSCRIPTS = """t AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'Us
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A transcript of each conversation: role and text of its turns, in order. A conversation is bounded; its turns are one group."""
-    said = F.concat(F.initcap("role"), F.lit(": "), F.coalesce("text", F.lit("")))
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("line"))
-    joined = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("answer"))
-    return joined.withColumns({"reflection": F.lit(""), "prompt": F.when(F.col("conv_id") % 3 == 0, "System: Self-interaction").otherwise("Tell me more")})
+    """A transcript of each conversation, with a prompt."""
+    joined = relational.transcripts(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return joined.withColumnRenamed("transcript", "answer").withColumns({"reflection": F.lit(""), "prompt": F.when(F.col("conv_id") % 3 == 0, "System: Self-interaction").otherwise("Tell me more")})
 
 
 @query(f"WITH {TRANSCRIPTS}, {s_clean('t', 'conv_id')} SELECT status, reason, count(*) AS n, count(*) FILTER (WHERE truncated) AS n_truncated, round(coalesce(avg(length(clean_answer)) FILTER (WHERE status = 'kept'), 0), 4) AS avg_kept_chars FROM cleaned GROUP BY ALL")
@@ -141,21 +139,22 @@ def clean_dialogues(spark, sf_dir):
 
 
 MARKED = """m AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Self-interaction: talk' ELSE 'Tell me' END AS prompt,
-  CASE WHEN doc_id % 4 = 0 THEN left(text, 300) ELSE '' END AS reflection,
-  CASE doc_id % 10 WHEN 0 THEN text || chr(10) || 'User: go on' WHEN 1 THEN 'I am Qwen. ' || text WHEN 2 THEN 'short' || chr(10) || chr(10) || 'Assistant: x'
+  CASE WHEN doc_id % 4 = 0 THEN text ELSE '' END AS reflection,
+  CASE doc_id % 10 WHEN 0 THEN text || chr(10) || 'User: go on' WHEN 1 THEN 'I am Qwen. ' || text WHEN 2 THEN 'short' || chr(10) || chr(10) || 'Assistant: x' || chr(10) || text
     WHEN 3 THEN repeat('I hope you understand. ', 3) || text ELSE text END AS answer FROM documents)"""
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with marks beside them; every fourth is its own reflection, as the answer's rules only see rows whose reflection passes."""
     d, t = F.col("doc_id"), F.col("text")
     k = d % 10
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.when(d % 7 == 0, "Self-interaction: talk").otherwise("Tell me").alias("prompt"),
-        F.when(d % 4 == 0, F.left(t, F.lit(300))).otherwise("").alias("reflection"),
+        F.when(d % 4 == 0, t).otherwise("").alias("reflection"),
         F.when(k == 0, F.concat(t, F.lit("\nUser: go on")))
         .when(k == 1, F.concat(F.lit("I am Qwen. "), t))
-        .when(k == 2, F.lit("short\n\nAssistant: x"))
+        .when(k == 2, F.concat(F.lit("short\n\nAssistant: x\n"), t))
         .when(k == 3, F.concat(F.lit("I hope you understand. " * 3), t))
         .otherwise(t)
         .alias("answer"),
@@ -174,44 +173,9 @@ def clean_reasons(spark, sf_dir):
     return done.groupBy("reason").agg(F.count("*").alias("n"), F.count_if(F.col("truncated") & (F.col("status") == "kept")).alias("n_truncated_kept"))
 
 
-MARKED_WHOLE = """m AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Self-interaction: talk' ELSE 'Tell me' END AS prompt,
-  CASE WHEN doc_id % 4 = 0 THEN text ELSE '' END AS reflection,
-  CASE doc_id % 10 WHEN 0 THEN text || chr(10) || 'User: go on' WHEN 1 THEN 'I am Qwen. ' || text WHEN 2 THEN 'short' || chr(10) || chr(10) || 'Assistant: x' || chr(10) || text
-    WHEN 3 THEN repeat('I hope you understand. ', 3) || text ELSE text END AS answer FROM documents)"""
-
-
-def marked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts with marks beside them; every fourth is its own reflection, as the answer's rules only see rows whose reflection passes. marked keeps the cuts of its SQL."""
-    d, t = F.col("doc_id"), F.col("text")
-    k = d % 10
-    return table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.when(d % 7 == 0, "Self-interaction: talk").otherwise("Tell me").alias("prompt"),
-        F.when(d % 4 == 0, t).otherwise("").alias("reflection"),
-        F.when(k == 0, F.concat(t, F.lit("\nUser: go on")))
-        .when(k == 1, F.concat(F.lit("I am Qwen. "), t))
-        .when(k == 2, F.concat(F.lit("short\n\nAssistant: x\n"), t))
-        .when(k == 3, F.concat(F.lit("I hope you understand. " * 3), t))
-        .otherwise(t)
-        .alias("answer"),
-    )
-
-
-@query(f"WITH {MARKED_WHOLE}, {s_clean('m', 'doc_id')} SELECT doc_id, status, reason, truncated, length(clean_reflection)::BIGINT AS reflection_chars, md5(clean_answer) AS answer_md5 FROM cleaned")
-def clean_rows_whole(spark, sf_dir):
-    done = cleaning.clean_fields(marked_whole(spark, sf_dir), F.col("prompt"), F.col("reflection"), F.col("answer"))
-    return done.select("doc_id", "status", "reason", "truncated", F.length("clean_reflection").cast("long").alias("reflection_chars"), F.md5("clean_answer").alias("answer_md5"))
-
-
-@query(f"WITH {MARKED_WHOLE}, {s_clean('m', 'doc_id')} SELECT reason, count(*) AS n, count(*) FILTER (WHERE truncated AND status = 'kept') AS n_truncated_kept FROM cleaned GROUP BY reason")
-def clean_reasons_whole(spark, sf_dir):
-    done = cleaning.clean_fields(marked_whole(spark, sf_dir), F.col("prompt"), F.col("reflection"), F.col("answer"))
-    return done.groupBy("reason").agg(F.count("*").alias("n"), F.count_if(F.col("truncated") & (F.col("status") == "kept")).alias("n_truncated_kept"))
-
-
-def s_offline(source: str = MARKED) -> str:
+def s_offline() -> str:
     dropped = f"""(({s_turns('r')} AND length(r2) < 50) OR length(r2) > 2000 OR {s_phrases('r2')} OR ({s_turns('a')} AND NOT self AND length(a2) < 50) OR (length(a2) > 3000 AND NOT self) OR {s_phrases('a2')})"""
-    return f"""WITH {source}, o1 AS (SELECT doc_id, coalesce(reflection, '') AS r, coalesce(answer, '') AS a, prompt LIKE 'Self-interaction%' AS self FROM m),
+    return f"""WITH {MARKED}, o1 AS (SELECT doc_id, coalesce(reflection, '') AS r, coalesce(answer, '') AS a, prompt LIKE 'Self-interaction%' AS self FROM m),
 o2 AS (SELECT *, CASE WHEN {s_turns('r')} THEN {s_cut('r')} ELSE r END AS r2, CASE WHEN {s_turns('a')} AND NOT self THEN {s_cut('a')} ELSE a END AS a2 FROM o1),
 o3 AS (SELECT *, {dropped} AS dropped, CASE WHEN {s_turns('r')} OR {s_turns('a')} THEN 'hallucination' WHEN length(r) > 2000 OR length(a) > 3000 THEN 'too_long' WHEN {s_phrases('r')} OR {s_phrases('a')} THEN 'repetition' ELSE 'other' END AS named FROM o2)
 SELECT CASE WHEN dropped THEN named ELSE 'kept' END AS outcome, count(*) AS n, count(*) FILTER (WHERE NOT dropped AND (length(r2) < length(r) OR length(a2) < length(a))) AS n_truncated FROM o3 GROUP BY ALL"""
@@ -223,12 +187,6 @@ def offline_clean_stats(spark, sf_dir):
     return done.groupBy(F.coalesce("offline_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"), F.count_if("offline_truncated").alias("n_truncated"))
 
 
-@query(s_offline(MARKED_WHOLE))
-def offline_clean_stats_whole(spark, sf_dir):
-    done = cleaning.clean_offline(marked_whole(spark, sf_dir), F.col("prompt"), F.col("reflection"), F.col("answer"))
-    return done.groupBy(F.coalesce("offline_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"), F.count_if("offline_truncated").alias("n_truncated"))
-
-
 PAIRS = """p AS (SELECT a.conv_id, a.turn, a.text AS prompt, CASE WHEN a.turn % 3 = 0 THEN '<think>plan' || chr(10) || '</think>' ELSE '' END || b.text AS chosen, lower(b.text) AS rejected
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant')"""
 
@@ -333,7 +291,13 @@ def think_parse(spark, sf_dir):
     return own.select("conv_id", "turn", "s.content", "s.thinking")
 
 
-@query()
+_STARTS = tx.ANSWER_STARTS.replace("(?idm)", "(?im)")
+_PREFACE = "|".join(tx.PREFACE_WORDS)
+
+
+@query(rf"""WITH {THOUGHT}, p1 AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(t, '(?s)<think>.*?</think>', '', 'g'), '</?think>', '', 'g'), '(?i)^\s*\([^)]*(?:response|reply|answer)\)\s*', '') AS c FROM h),
+p2 AS (SELECT *, regexp_matches(c, '{_STARTS}') AS starts, length(regexp_split_to_array(c, '{_STARTS}')[1]) AS b FROM p1)
+SELECT conv_id, turn, {s_strip(f"CASE WHEN starts AND b > 50 AND regexp_matches(lower(left(c, b)), '{_PREFACE}') THEN substr(c, b + 1) ELSE c END")} AS sampled FROM p2""")
 def sampled_text(spark, sf_dir):
     return thought(spark, sf_dir).select("conv_id", "turn", tx.sampled_text(F.col("t")).alias("sampled"))
 
@@ -402,17 +366,23 @@ def s_rate(rule: str, within: str = "true") -> str:
     return f"round(count(*) FILTER (WHERE ({within}) AND coalesce({rule}, false))::DOUBLE / greatest(count(*) FILTER (WHERE {within}), 1), 6)"
 
 
-@query(f"""WITH {REPLIES}, {SCORED}, g AS (SELECT model, count(*) AS responses, {s_rate('json_valid', "prompt_key = 'json_format'")} AS json_compliance, {s_rate('NOT has_markdown', "prompt_key = 'plain_text'")} AS plain_text_compliance,
+SUMMARY = f"""{REPLIES}, {SCORED}, g AS (SELECT model, count(*) AS responses, {s_rate('json_valid', "prompt_key = 'json_format'")} AS json_compliance, {s_rate('NOT has_markdown', "prompt_key = 'plain_text'")} AS plain_text_compliance,
   {s_rate('NOT has_reasoning_preamble', "prompt_key IN ('final_answer_only', 'code_only')")} AS reasoning_suppression, round(avg(word_count), 6) AS avg_word_count, {s_rate('has_markdown')} AS markdown_rate, {s_rate('persona_present', "prompt_key = 'persona_pirate'")} AS persona_adherence,
-  {s_rate('hedges_found', "prompt_key = 'factual_simple'")} AS hedging_rate, {s_rate('has_boundary_leak')} AS boundary_leak_rate, {s_rate('has_meta_preamble')} AS meta_preamble_rate, array_to_string(list_sort(list_distinct(list(identity_claimed) FILTER (WHERE identity_claimed IS NOT NULL))), ',') AS identities FROM s GROUP BY model)
-SELECT *, CASE WHEN avg_word_count < 30 THEN 'terse' WHEN avg_word_count < 80 THEN 'medium' ELSE 'long' END AS verbosity, CASE WHEN boundary_leak_rate > 0.3 THEN 'transcripty' WHEN meta_preamble_rate > 0.3 THEN 'narrator' ELSE 'compliant' END AS behavior_class FROM g""")
+  {s_rate('hedges_found', "prompt_key = 'factual_simple'")} AS hedging_rate, {s_rate('has_boundary_leak')} AS boundary_leak_rate, {s_rate('has_meta_preamble')} AS meta_preamble_rate, array_to_string(list_sort(list_distinct(list(identity_claimed) FILTER (WHERE identity_claimed IS NOT NULL))), ',') AS identities FROM s GROUP BY model),
+c AS (SELECT *, CASE WHEN avg_word_count < 30 THEN 'terse' WHEN avg_word_count < 80 THEN 'medium' ELSE 'long' END AS verbosity, CASE WHEN boundary_leak_rate > 0.3 THEN 'transcripty' WHEN meta_preamble_rate > 0.3 THEN 'narrator' ELSE 'compliant' END AS behavior_class FROM g)"""
+
+
+@query(f"WITH {SUMMARY} SELECT * FROM c")
 def model_summary(spark, sf_dir):
     out = evaluation.summarize_models(evaluation.score_responses(replies(spark, sf_dir), evaluation.battery_spec(spark)))
     out = out.withColumn("identities", F.array_join("identities_claimed", ",")).drop("identities_claimed")
     return out.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
 
 
-@query()
+_CARD = """# Model Card: ' || model || chr(10) || chr(10) || '## Compliance Scores' || chr(10) || '- JSON format compliance: ' || round_even(100 * json_compliance, 0)::INT || '%' || chr(10) || '- Plain text compliance: ' || round_even(100 * plain_text_compliance, 0)::INT || '%' || chr(10) || '- Reasoning suppression: ' || round_even(100 * reasoning_suppression, 0)::INT || '%' || chr(10) || chr(10) || '## Style Profile' || chr(10) || '- Verbosity: ' || verbosity || ' (avg ' || round_even(avg_word_count, 0)::INT || ' words)' || chr(10) || '- Markdown usage: ' || round_even(100 * markdown_rate, 0)::INT || '%' || chr(10) || '- Hedging rate: ' || round_even(100 * hedging_rate, 0)::INT || '%' || chr(10) || chr(10) || '## Persona & Identity' || chr(10) || '- Persona adherence: ' || round_even(100 * persona_adherence, 0)::INT || '%' || chr(10) || '- Identities claimed: ' || coalesce(nullif(replace(identities, ',', ', '), ''), 'none') || chr(10)"""
+
+
+@query(f"WITH {SUMMARY} SELECT model, '{_CARD} AS card FROM c")
 def model_cards(spark, sf_dir):
     return evaluation.model_cards(evaluation.summarize_models(evaluation.score_responses(replies(spark, sf_dir), evaluation.battery_spec(spark))))
 
@@ -443,21 +413,10 @@ def s_score() -> str:
     return f"CASE WHEN {p} >= 3 AND {n} = 0 THEN 1.0 WHEN {p} >= 2 AND {n} = 0 THEN 0.8 WHEN {p} >= 1 AND {n} = 0 THEN 0.6 WHEN {p} > {n} THEN 0.4 WHEN {p} = {n} AND {p} > 0 THEN 0.3 WHEN {n} > 0 AND {p} = 0 THEN 0.1 ELSE 0.5 END::DOUBLE"
 
 
-@query(f"""WITH d AS (SELECT source, CASE WHEN doc_id % 3 = 0 THEN 'Great question: ' ELSE '' END || left(text, 60) AS t FROM documents), e AS (SELECT source, {s_score()} AS score FROM d),
-g AS (SELECT source, count(*) AS total, count(*) FILTER (WHERE score >= 0.6) AS in_character, avg(score) AS a, round(count(*) FILTER (WHERE score >= 0.6)::DOUBLE / count(*), 6) AS rate FROM e GROUP BY source)
-SELECT source, total, in_character, round(a, 6) AS avg_score, rate FROM g""")
-def category_stats(spark, sf_dir):
-    start = F.when(F.col("doc_id") % 3 == 0, "Great question: ").otherwise("")
-    own = table(spark, sf_dir, "documents").select("source", rules.character_score(F.concat(start, F.left("text", F.lit(60))), "pirate")["score"].alias("score"))
-    out = evaluation.category_stats(own, "source", "score", F.col("score") >= 0.6)
-    return out.select("source", "total", "in_character", F.round("avg_score", 6).alias("avg_score"), F.round("rate", 6).alias("rate"))
-
-
 @query(f"""WITH d AS (SELECT source, CASE WHEN doc_id % 3 = 0 THEN 'Great question: ' ELSE '' END || text AS t FROM documents), e AS (SELECT source, {s_score()} AS score FROM d),
 g AS (SELECT source, count(*) AS total, count(*) FILTER (WHERE score >= 0.6) AS in_character, avg(score) AS a, round(count(*) FILTER (WHERE score >= 0.6)::DOUBLE / count(*), 6) AS rate FROM e GROUP BY source)
 SELECT source, total, in_character, round(a, 6) AS avg_score, rate, row_number() OVER (ORDER BY a, source)::INT AS worst_place, row_number() OVER (ORDER BY a DESC, source DESC)::INT AS best_place FROM g""")
-def category_stats_whole(spark, sf_dir):
-    """category_stats over whole texts, with the places; category_stats itself scores the openings its SQL names."""
+def category_stats(spark, sf_dir):
     start = F.when(F.col("doc_id") % 3 == 0, "Great question: ").otherwise("")
     own = table(spark, sf_dir, "documents").select("source", rules.character_score(F.concat(start, "text"), "pirate")["score"].alias("score"))
     out = evaluation.category_stats(own, "source", "score", F.col("score") >= 0.6)
@@ -473,10 +432,13 @@ def s_hits(x: str) -> str:
     return f"list_filter(flatten([{each}]), lambda v: v IS NOT NULL AND v <> '')"
 
 
-@query(f"""WITH k AS (SELECT lang, CASE doc_id % 5 WHEN 0 THEN 'Ahoy matey! ' || text WHEN 1 THEN text || ' the captain sails the sea dog' ELSE text END AS t FROM documents),
+MARKED_BY = f"""k AS (SELECT lang, CASE doc_id % 5 WHEN 0 THEN 'Ahoy matey! ' || text WHEN 1 THEN text || ' the captain sails the sea dog' ELSE text END AS t FROM documents),
 h AS (SELECT lang, {s_hits('t')} AS hits, {s_hits('left(t, 200)')} AS head, CASE WHEN length(t) > 200 THEN {s_hits('right(t, 200)')} END AS tail FROM k),
-g AS (SELECT lang, count(*) AS total, count(*) FILTER (WHERE len(hits) > 0) AS with_markers, sum(len(hits))::BIGINT AS markers, sum(len(head))::BIGINT AS first_200, sum(coalesce(len(tail), 0))::BIGINT AS last_200, len(list_distinct(flatten(list(list_transform(hits, lambda v: lower(v))))))::INT AS unique_markers FROM h GROUP BY lang)
-SELECT *, round(with_markers::DOUBLE / total, 6) AS marker_rate, round(markers::DOUBLE / total, 6) AS avg_markers, round(CASE WHEN first_200 + last_200 > 0 THEN last_200::DOUBLE / (first_200 + last_200) ELSE 0.5 END, 6) AS position_balance FROM g""")
+g AS (SELECT lang, count(*) AS total, count(*) FILTER (WHERE len(hits) > 0) AS with_markers, sum(len(hits))::BIGINT AS markers, sum(len(head))::BIGINT AS first_200, sum(coalesce(len(tail), 0))::BIGINT AS last_200, len(list_distinct(flatten(list(list_transform(hits, lambda v: lower(v))))))::INT AS unique_markers FROM h GROUP BY lang),
+e AS (SELECT *, round(with_markers::DOUBLE / total, 6) AS marker_rate, round(markers::DOUBLE / total, 6) AS avg_markers, round(CASE WHEN first_200 + last_200 > 0 THEN last_200::DOUBLE / (first_200 + last_200) ELSE 0.5 END, 6) AS position_balance FROM g)"""
+
+
+@query(f"WITH {MARKED_BY} SELECT * FROM e")
 def marker_eval(spark, sf_dir):
     out = evaluation.marker_eval(_pirates(spark, sf_dir), "t", evaluation.MARKERS["pirate"], ["lang"])
     return out.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
@@ -487,7 +449,9 @@ def _pirates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("lang", F.when(k == 0, F.concat(F.lit("Ahoy matey! "), t)).when(k == 1, F.concat(t, F.lit(" the captain sails the sea dog"))).otherwise(t).alias("t"))
 
 
-@query()
+@query(f"""WITH {MARKED_BY}, v AS (SELECT *, marker_rate >= 0.3 AND avg_markers >= 0.5 AS alive FROM e)
+SELECT lang, alive, CASE WHEN alive THEN 'Character markers present (' || unique_markers || ' unique)' ELSE concat_ws('; ', CASE WHEN marker_rate < 0.3 THEN 'marker_rate ' || printf('%.1f', 100 * with_markers::DOUBLE / total) || '% < 30%' END, CASE WHEN avg_markers < 0.5 THEN 'avg_markers ' || printf('%.2f', markers::DOUBLE / total) || ' < 0.5' END) END
+  || CASE WHEN position_balance < 0.2 THEN ' (markers clustered in opening)' WHEN position_balance > 0.8 THEN ' (markers clustered in closing)' ELSE '' END AS why FROM v""")
 def signs_of_life(spark, sf_dir):
     out = evaluation.signs_of_life(evaluation.marker_eval(_pirates(spark, sf_dir), "t", evaluation.MARKERS["pirate"], ["lang"]))
     return out.select("lang", "alive", "why")
@@ -517,9 +481,23 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", "toxic", F.when(F.col("quality") == 1, "tuned").otherwise("base").alias("winner"))
 
 
-@query()
+@query("SELECT count(*) AS n, 2000.0::DOUBLE AS sum_of_means, true AS same_deviation, true AS deviates, true AS near_the_pool, true AS repeats FROM labels")
 def elo_bootstrap(spark, sf_dir):
-    return rating.elo_bootstrap(_matches(spark, sf_dir), ["doc_id"])
+    """What holds whatever is drawn: means sum to twice the start, both sides deviate alike, the mean is within the
+    deviations of the share of wins, and the same seed gives the same."""
+    m = _matches(spark, sf_dir)
+    one, again = rating.elo_bootstrap(m, ["doc_id"]), rating.elo_bootstrap(m, ["doc_id"]).select(F.col("tuned_mean").alias("again"))
+    share = m.agg(F.avg((F.col("winner") == "tuned").cast("double")).alias("share"))
+    level = 1000 + 200 * F.log10(F.col("share") / (1 - F.col("share")))  # where the fold settles
+    out = one.crossJoin(F.broadcast(again)).crossJoin(F.broadcast(share))
+    return out.select(
+        "n",
+        F.round(F.col("base_mean") + F.col("tuned_mean"), 6).alias("sum_of_means"),
+        (F.abs(F.col("base_std") - F.col("tuned_std")) < 1e-6).alias("same_deviation"),
+        (F.col("tuned_std") > 1).alias("deviates"),
+        (F.abs(F.col("tuned_mean") - level) < 3 * F.col("tuned_std")).alias("near_the_pool"),
+        (F.abs(F.col("tuned_mean") - F.col("again")) < 1e-9).alias("repeats"),
+    )
 
 
 # joins and sets --------------------------------------------------------------------------------------------------
@@ -537,20 +515,11 @@ def resume_anti_composite(spark, sf_dir):
     return relational.without_seen(docs, docs.filter("doc_id % 3 = 0"), ["text", "source"]).select("doc_id", "source")
 
 
-@query("""WITH l AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN 7 END AS quality FROM documents WHERE doc_id % 4 <> 3), j AS (SELECT l.doc_id, coalesce(l.quality, r.quality)::INT AS quality, CASE WHEN r.doc_id IS NOT NULL THEN 'left+right' ELSE l.source END AS source FROM l LEFT JOIN labels r USING (doc_id))
-SELECT * FROM j UNION ALL SELECT r.doc_id, r.quality::INT, NULL FROM labels r WHERE r.doc_id NOT IN (SELECT doc_id FROM l)""")
-def enrich_full(spark, sf_dir):
-    left = table(spark, sf_dir, "documents").filter("doc_id % 4 <> 3").select("doc_id", "source", F.when(F.col("doc_id") % 2 == 0, 7).cast("int").alias("quality"))
-    right = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    out = relational.enrich(left, right, "doc_id", ["quality"], merged="left+right").select("doc_id", "quality", "source")
-    return relational.left_priority_union(out, right.join(left, "doc_id", "left_anti"), "doc_id")
-
-
 @query("""WITH l AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN 7 END AS quality FROM documents), r AS (SELECT CASE WHEN doc_id % 4 = 3 THEN -1 - doc_id ELSE doc_id END AS doc_id, quality FROM labels),
 j AS (SELECT l.doc_id, coalesce(l.quality, r.quality)::INT AS quality, CASE WHEN r.doc_id IS NOT NULL THEN 'left+right' ELSE l.source END AS source FROM l LEFT JOIN r USING (doc_id))
 SELECT * FROM j UNION ALL SELECT r.doc_id, r.quality::INT, NULL FROM r WHERE r.doc_id NOT IN (SELECT doc_id FROM l)""")
-def enrich_full_whole(spark, sf_dir):
-    """enrich_full over all documents: rows of labels alone come from keys moved below 0, not from documents left out."""
+def enrich_full(spark, sf_dir):
+    """Rows of labels alone come from keys moved below 0."""
     d = F.col("doc_id")
     left = table(spark, sf_dir, "documents").select("doc_id", "source", F.when(d % 2 == 0, 7).cast("int").alias("quality"))
     right = table(spark, sf_dir, "labels").select(F.when(d % 4 == 3, -1 - d).otherwise(d).alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -630,25 +599,23 @@ def array_dedup(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(personas.distinct_in_order(F.split("text", "\n")), "\n").alias("kept"))
 
 
-@query("SELECT tag, count(DISTINCT doc_id) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, unnest([lang, source, lang]) AS tag FROM documents) GROUP BY tag")
+@query("SELECT tag, array_to_string(list_sort(list(DISTINCT n_nationkey)), ',') AS ids FROM (SELECT n_nationkey, unnest([left(n_name, 1), 'r' || n_regionkey, left(n_name, 1)]) AS tag FROM nation) GROUP BY tag")
 def tag_index(spark, sf_dir):
-    tags = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.array("lang", "source", "lang"))).alias("tag"))
-    return tags.groupBy("tag").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("first_id"))
+    tagged = table(spark, sf_dir, "nation").withColumn("tags", F.array(F.left("n_name", F.lit(1)), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.left("n_name", F.lit(1))))
+    return runs.tags_of(tagged, "n_nationkey", "tags").select("tag", F.array_join("ids", ",").alias("ids"))
 
 
-@query("SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS carried, turn % 2 AS parity, turn = max(turn) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS last_reply FROM conversations")
+@query("SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS carried, turn % 2 AS parity, CASE WHEN turn = max(turn) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) THEN 'new' ELSE text END AS text, coalesce(turn = max(turn) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id), false) AS replaced FROM conversations")
 def turn_carry(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy("conv_id"))
-    return relational.carried(c, "conv_id", "turn", "text").select("conv_id", "turn", "carried", "parity", (F.col("turn") == last).alias("last_reply"))
+    c = relational.carried(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return runs.replace_last(c, "conv_id", "turn", "role", "text", F.lit("new")).select("conv_id", "turn", "carried", "parity", "text", "replaced")
 
 
 @query("""WITH e AS (SELECT event_type, event_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS total FROM events), w AS (SELECT *, count(*) OVER f AS c, epoch_us(ts) - epoch_us(min(ts) OVER f) AS span, total - min(total) OVER f AS grown FROM e
   WINDOW f AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 7199999999 PRECEDING AND CURRENT ROW))
 SELECT event_id, round(CASE WHEN c >= 2 AND span / 60000000.0 >= 0.1 THEN grown / (span / 60000000.0) END, 6) AS rate FROM w""")
 def rate_eta(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    own = table(spark, sf_dir, "events").withColumn("total", F.row_number().over(w))
+    own = relational.running_count(table(spark, sf_dir, "events"), "event_type", "ts", "event_id")
     out = relational.trailing_rate(own, "event_type", "ts", "total", minutes=120)
     return out.select("event_id", F.round("rate", 6).alias("rate"))
 
@@ -661,25 +628,14 @@ def stage_islands(spark, sf_dir):
 
 @query("""WITH c AS (SELECT *, row_number() OVER (ORDER BY conv_id DESC, turn DESC) AS k FROM conversations QUALIFY k <= 3) SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN trim(text) = '' THEN 'blank' END, CASE WHEN contains(text, 'User:') OR contains(text, 'Assistant:') THEN 'markers' END, CASE WHEN length(text) < 40 THEN 'short' END], lambda x: x IS NOT NULL), ',') AS issues FROM c""")
 def recent_health(spark, sf_dir):
-    t = F.col("text")
-    issues = F.array_compact(F.array(F.when(tx.strip(t) == "", "blank"), F.when(t.rlike("User:|Assistant:"), "markers"), F.when(F.length(t) < 40, "short")))
-    return table(spark, sf_dir, "conversations").orderBy(F.desc("conv_id"), F.desc("turn")).limit(3).select("conv_id", "turn", F.array_join(issues, ",").alias("issues"))
+    out = runs.recent_issues(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    return out.select("conv_id", "turn", F.array_join("issues", ",").alias("issues"))
 
 
 # personas and arrays ---------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, round(least(least(n_chars, 400) / 500.0, 0.2) + least((doc_id % 10) / 15.0, 0.3) + least((doc_id % 3) / 5.0, 0.2) + least((doc_id % 4) / 3.0, 0.2) + CASE WHEN doc_id % 2 = 0 THEN 0.1 ELSE 0 END, 6)::DOUBLE AS score FROM documents""")
-def quality_terms(spark, sf_dir):
-    d = F.col("doc_id")
-    terms = (F.least(F.least("n_chars", F.lit(400)) / 500.0, F.lit(0.2)), F.least((d % 10) / 15.0, F.lit(0.3)), F.least((d % 3) / 5.0, F.lit(0.2)), F.least((d % 4) / 3.0, F.lit(0.2)), F.when(d % 2 == 0, 0.1).otherwise(0.0))
-    total: Column = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(total, 6).alias("score"))
-
-
-@query()
+@query("""SELECT doc_id, round_even(least(n_chars / 500.0::DOUBLE, 0.2::DOUBLE) + least((doc_id % 10) / 15.0::DOUBLE, 0.3::DOUBLE) + least((doc_id % 3) / 5.0::DOUBLE, 0.2::DOUBLE) + least((doc_id % 4) / 3.0::DOUBLE, 0.2::DOUBLE) + CASE WHEN doc_id % 2 = 0 THEN 0.1::DOUBLE ELSE 0::DOUBLE END, 2) AS score FROM documents""")
 def quality_score(spark, sf_dir):
     d = F.col("doc_id")
     return table(spark, sf_dir, "documents").select("doc_id", personas.quality_score(F.col("n_chars"), d % 10, d % 3, d % 4, d % 2 == 0).alias("score"))
@@ -716,12 +672,29 @@ def pack_tokens(spark, sf_dir):
     return own.select("vec_id", add(F.col("p.input")).alias("input_sum"), add(F.col("p.target")).alias("target_sum"), total(F.col("p.weights"), 0.0).alias("weight"), add(numeric.keep_right(F.slice("ids", 1, 50), 10)).alias("right_sum"))
 
 
-@query()
+@query("SELECT 5000::BIGINT AS n, 5000::BIGINT AS n_distinct, 0::BIGINT AS least, 4999::BIGINT AS largest, 5000::BIGINT AS filled, 5000::BIGINT AS repeated, true AS cued")
 def prompt_synth(spark, sf_dir):
-    return synthesis.prompts(spark, 500, seed=11)
+    """What holds whatever is drawn: as many as asked for, distinct, numbered, every slot filled, the same for the same
+    seed, and cues on about the share asked for."""
+    own, again = synthesis.prompts(spark, 5000, seed=11), synthesis.prompts(spark, 5000, seed=11)
+    cued = F.count_if(F.col("prompt").rlike("(?:" + "|".join(synthesis.CUES) + ")$"))
+    same = own.join(again, ["ordinal", "prompt"]).agg(F.count("*").alias("repeated"))
+    out = own.agg(F.count("*").alias("n"), F.count_distinct("prompt").alias("n_distinct"), F.min("ordinal").alias("least"), F.max("ordinal").alias("largest"), F.count_if(~F.col("prompt").rlike(r"[{}]")).alias("filled"), cued.alias("c"))
+    return out.crossJoin(F.broadcast(same)).select("n", "n_distinct", "least", "largest", "filled", "repeated", ((F.col("c") > 1250) & (F.col("c") < 1750)).alias("cued"))
 
 
-@query()
+@query("SELECT c_custkey, 6 AS n_options, 6 AS n_distinct, true AS trait_shown, true AS trait_apart, 5 AS n_distractors FROM customer")
 def trait_options(spark, sf_dir):
+    """For each key: six different options, the hidden trait among them and not among its five distractors."""
     own = synthesis.traits(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", ("kind", "blunt", "wry", "calm", "bold", "shy", "dry", "warm"))
-    return own.select("c_custkey", "hidden_trait", F.array_join("distractors", ",").alias("distractors"), F.array_join("options", ",").alias("options"))
+    return own.select(
+        "c_custkey",
+        F.size("options").alias("n_options"),
+        F.size(F.array_distinct("options")).alias("n_distinct"),
+        F.array_contains("options", F.col("hidden_trait")).alias("trait_shown"),
+        (~F.array_contains("distractors", F.col("hidden_trait"))).alias("trait_apart"),
+        F.size(F.array_intersect("distractors", "options")).alias("n_distractors"),
+    )
+
+
+from tessella.plans import flows as _flows  # noqa: E402, F401  (registers its queries)

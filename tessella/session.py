@@ -1,10 +1,12 @@
-"""Sessions for tests and local runs; on a cluster the caller brings its own."""
+"""Sessions for tests and local runs; on a cluster the caller brings its own. The folder that all executors share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "tessella") -> SparkSession:
@@ -23,3 +25,28 @@ def local_session(cpus: int = 8, app: str = "tessella") -> SparkSession:
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Only a local session may do without, and gets a temporary folder."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and written to the shared folder, so every later use sees the same."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

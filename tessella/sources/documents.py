@@ -112,6 +112,12 @@ def conversations_markdown(turns: DataFrame, key: str = "conv_id", turn: str = "
     return lines.select(key, F.concat(F.lit("# Conversation "), F.col(key).cast("string"), F.lit("\n\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n\n"), F.lit("\n")).alias("markdown"))
 
 
+def conversations_json(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """key, json: an object with the key and the messages of a conversation, in order."""
+    cells = turns.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(turn, F.struct(F.col(role).alias("role"), F.col(text).alias("content")).alias("m")))).alias("ms"))
+    return cells.select(key, F.to_json(F.struct(F.col(key).alias("id"), F.transform("ms", lambda x: x["m"]).alias("conversation"))).alias("json"))
+
+
 def tail(df: DataFrame, order: str, n: int) -> DataFrame:
     """The last n rows in the order: a top-n."""
     return df.orderBy(F.desc(order)).limit(n).withColumn("place", F.row_number().over(Window.orderBy(order)))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
 from tessella.functions.text import first_filled, strip
@@ -102,5 +105,28 @@ def write_lines(df: DataFrame, path: str, column: str) -> None:
 def preview(df: DataFrame, order: str, first: int, more: int, seed: int = 0) -> DataFrame:
     """The first rows and a drawn sample of the others."""
     head = df.orderBy(order).limit(first)
-    rest = df.join(F.broadcast(head.select(order)), order, "left_anti")
+    last = head.agg(F.max(order).alias("__last"))  # one row; an empty table has none beyond it
+    rest = df.crossJoin(F.broadcast(last)).filter(F.col(order) > F.col("__last")).drop("__last")
     return head.unionByName(rest.orderBy(F.xxhash64(F.lit(seed), order), order).limit(more))
+
+
+def stems_of(listing: DataFrame, suffixes: tuple[str, ...], path: str = "path", depth: str | None = None) -> DataFrame:
+    """stem of each file of a listing with one of the suffixes, once and sorted; with depth, only files that lie directly in the folder (depth 0)."""
+    name = F.element_at(F.split(path, "/"), -1)
+    own = listing if depth is None else listing.filter(F.col(depth) == 0)
+    own = own.select(F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("suffix"))
+    return own.filter(F.col("suffix").isin(*suffixes)).select("stem").distinct().orderBy("stem")
+
+
+def append_stream(rows: DataFrame, path: str, checkpoint: str, health: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """Appends what a stream brings to JSON lines, batch by batch, exactly once by its checkpoint. health sees each batch
+    first and may raise, which stops the stream before the batch is written. Call awaitTermination on what comes back."""
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if health is None:
+        return writer.format("json").outputMode("append").start(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        health(batch)
+        batch.write.mode("overwrite").json(f"{path}/batch={number}")  # a batch that is run again replaces itself
+
+    return writer.foreachBatch(write).start()
