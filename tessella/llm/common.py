@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.session import kept, scratch_path
+
 #: Rows of one Arrow batch handed to Python. Texts can be long, so batches are kept short.
 ARROW_ROWS = 1000
 #: Bytes of output after which a Python operator hands a batch back.
@@ -34,31 +34,7 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only a local session may do without, and gets a temporary one."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared folder, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+scratch, cut_lineage = scratch_path, kept
 
 
 def text_of(df: DataFrame, column: str) -> Column:
