@@ -1,6 +1,9 @@
 """WARC archives (operator 9).
 
-Pages are written as WARC 1.1 records, one archive a task, as one monolithic gzip stream. The normaliser inflates
+Pages are written as WARC 1.1 records, one archive a task, as one monolithic gzip stream. A response's block is an
+HTTP answer whose body is the payload; a revisit names the response's record, and has an HTTP head for a block.
+Payload digests are written in base 32, as archives have them; the page's id and a revisit's payload length stand in
+extension fields. The normaliser inflates
 such a stream once, record by record, rewrites every record as a gzip member of its own, and writes a sidecar
 index of offsets beside the archive, so any record can be read by one seek. Reading back goes by the index.
 
@@ -14,6 +17,7 @@ where all page_ids of a group are null, all are responses; an empty table gives
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
 import json
@@ -30,6 +34,8 @@ from tessella.llm.common import batches_of, cut_lineage, scratch
 
 #: Bytes of a payload from which an equal one is a revisit.
 LEAST_REVISIT = 1000
+#: Bytes of a group of equal payloads in memory, about, and of all groups up to which they are broadcast.
+GROUP_BYTES, BROADCAST_BYTES = 128, 32 << 20
 #: Bytes read or inflated at once, and the level of compression.
 CHUNK, LEVEL = 1 << 20, 6
 
@@ -59,15 +65,21 @@ class Files:
         self.fs.delete_file(f"{self.path}/{name}")
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    """A record's id: the same for a page and payload wherever it is written, so that revisits can name it."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, digest: str) -> bytes:
-    """One WARC record; a revisit has no block, only the payload's length and digest."""
-    block = payload if kind == "response" else b""
+    """One WARC record of a payload with a hexadecimal SHA-1."""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = head + payload if kind == "response" else head
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>",
+        f"WARC-Record-ID: {record_id(page_id, digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         f"X-Payload-Length: {len(payload)}",
     ]
     if url is not None:
@@ -76,8 +88,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
         lines.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        lines.append(f"WARC-Refers-To: {record_id(refers_to, digest)}")
         lines.append(f"X-Refers-To-Page-ID: {refers_to}")
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -88,6 +101,11 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["Content-Length"])]
 
 
+def payload_of(block: bytes) -> bytes:
+    """The body of an HTTP answer."""
+    return block.partition(b"\r\n\r\n")[2]
+
+
 def _inflated(source) -> Iterator[bytes]:
     """The bytes of a gzip file of one or more members, a chunk at a time."""
     z = zlib.decompressobj(31)
@@ -194,12 +212,12 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 for archive, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     for h, block in read_archive(files, archive, index):
                         revisit = h["WARC-Type"] == "revisit"
-                        digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if not revisit and hashlib.sha1(block).hexdigest() != digest:
+                        digest, body = base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex(), payload_of(block)
+                        if not revisit and hashlib.sha1(body).hexdigest() != digest:
                             raise ValueError(f"{archive}: the block of {h['WARC-Record-ID']} does not have its digest")
                         page, refers = h.get("X-Page-ID"), h.get("X-Refers-To-Page-ID")
-                        size = int(h["X-Payload-Length"]) if revisit else len(block)
-                        yield page and int(page), h.get("WARC-Target-URI"), size, digest, h["WARC-Type"], refers and int(refers), block
+                        size = int(h["X-Payload-Length"]) if revisit else len(body)
+                        yield page and int(page), h.get("WARC-Target-URI"), size, digest, h["WARC-Type"], refers and int(refers), body
 
         yield from batches_of(rows(), schema)
 
@@ -217,8 +235,9 @@ def archive_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     pages = pages.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     # narrow, and combined before the shuffle: only groups with something to revisit come back
     groups = pages.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n"))
-    groups = groups.filter("n > 1 and newest is not null").select("digest", "newest")
-    known = pages.join(groups, "digest", "left")
+    groups = cut_lineage(groups.filter("n > 1 and newest is not null").select("digest", "newest"))
+    small = groups.count() * GROUP_BYTES <= BROADCAST_BYTES  # then the payloads stay where they are
+    known = pages.join(F.broadcast(groups) if small else groups, "digest", "left")
     revisit = F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
     typed = known.select(
         "page_id",

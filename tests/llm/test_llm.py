@@ -409,10 +409,19 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(df.filter("false")).count() == 0
 
 
+def test_records_are_what_readers_of_archives_expect():
+    sha = hashlib.sha1(b"<p>x</p>").hexdigest()
+    head, block = warc.parse(warc.record(7, "http://h/a b", b"<p>x</p>", "response", None, sha))
+    assert head["Content-Type"] == "application/http; msgtype=response" and block.startswith(b"HTTP/1.1 200 OK\r\n") and warc.payload_of(block) == b"<p>x</p>"
+    assert re.fullmatch("sha1:[A-Z2-7]{32}", head["WARC-Payload-Digest"]) and head["WARC-Target-URI"] == "http://h/a%20b"
+    again, block = warc.parse(warc.record(8, "http://h/b", b"<p>x</p>", "revisit", 7, sha))
+    assert again["WARC-Refers-To"] == head["WARC-Record-ID"] != again["WARC-Record-ID"] and warc.payload_of(block) == b""
+
+
 def test_normaliser_takes_any_gzip_and_refuses_broken_ones(tmp_path):
     import gzip
 
-    records = [warc.record(i, f"http://h/{i}", bytes([65 + i]) * (10**i), "response", None, "d") for i in range(7)]
+    records = [warc.record(i, f"http://h/{i}", bytes([65 + i]) * (10**i), "response", None, hashlib.sha1(bytes([65 + i]) * (10**i)).hexdigest()) for i in range(7)]
     files = warc.Files(str(tmp_path))
     cut = len(records[0]) + 17
     data = b"".join(records)
