@@ -5,7 +5,7 @@ is packed whole. The rests' length histogram, in steps of STEP ids rounded up, i
 program over patterns of lengths whose columns are generated by a knapsack dynamic program on the dual prices.
 The solution is rounded down, what remains is packed best fit decreasing on counts, and the patterns are dealt
 to documents by their rank within their length. Only the histogram and the patterns are on the driver, and both
-are bounded by CAPACITY / STEP; documents stay where they are, with narrow rows shuffled by (length, hash bucket),
+are bounded by CAPACITY / STEP; documents stay where they are, with narrow rows shuffled by (length, bucket),
 so a length that a third of all documents share is ranked by many tasks. Rounding up costs half a step of padding
 a document; in return the program has few rows and is solved in seconds at any size.
 
@@ -251,7 +251,8 @@ def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_co
     rest = docs.withColumn("r", F.col("n") % capacity).filter("r > 0").withColumn("step", F.ceil(F.col("r") / STEP).cast("int"))
     histogram = {r["step"]: r["k"] for r in rest.groupBy("step").agg(F.count("*").alias("k")).collect()}  # CAPACITY / STEP rows at most
     buckets = max(1, sum(histogram.values()) // BUCKET_ROWS)
-    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)).cast("int"))
+    # by the row's place in the checkpoint, so that equal rows, however many, are dealt to all buckets
+    rest = rest.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
     counts = rest.groupBy("step", "bucket").agg(F.count("*").alias("k"))
     before = Window.partitionBy("step").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("step", "bucket", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("ahead"))

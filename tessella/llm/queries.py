@@ -68,6 +68,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids as the tokenizers library gives them: by itself where a text holds an added token, else by its vocabulary in tiktoken's engine, which gives the same ids."""
     public = _public()
     return packing.pack(read_table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.PATTERN)
 
