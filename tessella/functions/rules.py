@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ IDENTITY_CLAIMS = (
     "I was created by Meta",
     "I was trained by",
 )
+#: How the claims begin, in lower case; each claim has one of these.
+CLAIM_OPENINGS = ("i am ", "i'm ", "as an ai language model", "i was created by ", "i was trained by")
 #: Phrases whose repetition marks a degenerate answer.
 REPEATED_PHRASES = (
     "I'm sorry for the inconvenience",
@@ -95,7 +98,9 @@ def any_of(c: Column, patterns, flags: str = "") -> Column:
 
 
 def identity_leak(c: Column) -> Column:
-    return any_of(c, [rf"\b{p}\b" for p in IDENTITY_CLAIMS], "(?i)")
+    """Whether the text claims another identity. Only a text that holds the opening of a claim is held against all of them."""
+    opens = lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in CLAIM_OPENINGS])
+    return bound(F.lower(c), opens) & any_of(c, [rf"\b{p}\b" for p in IDENTITY_CLAIMS], "(?i)")
 
 
 def too_long(c: Column, limit: int) -> Column:
@@ -147,10 +152,13 @@ def repeated_ngrams(c: Column, n: int = 3, least_tokens: int = 150, most: float
 
 def excessive_repetition(c: Column, threshold: int = 3, phrases=REPEATED_PHRASES) -> Column:
     """A phrase at least threshold times, or repeated lines, or repeated n-grams; cheap rules first."""
-    rule = F.lit(False)
-    for p in phrases:
-        rule = rule | (count_literal(c, p) >= threshold)
-    return F.when(rule, True).when(repeated_lines(c), True).otherwise(repeated_ngrams(c))
+    return F.when(repeated_phrases(c, threshold, phrases), True).when(repeated_lines(c), True).otherwise(repeated_ngrams(c))
+
+
+def repeated_phrases(c: Column, threshold: int = 3, phrases=REPEATED_PHRASES) -> Column:
+    """A phrase at least threshold times, in either case. Only phrases that the text holds at all are counted."""
+    any_often = lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p.lower())) & (count_literal(c, p) >= threshold) for p in phrases])
+    return bound(F.lower(c), any_often) if phrases else F.lit(False)
 
 
 def valid_json(c: Column) -> Column:

@@ -81,14 +81,7 @@ def clean_offline(df: DataFrame, prompt: Column, reflection: Column, answer: Col
     are not part of it.
     """
 
-    def repeats(c: Column) -> Column:
-        from tessella.functions.text import count_literal
-
-        rule = F.lit(False)
-        for p in rules.REPEATED_PHRASES:
-            rule = rule | (count_literal(c, p) >= 3)
-        return rule
-
+    repeats = rules.repeated_phrases
     own = df.withColumns({"__r": text_or_empty(reflection), "__a": text_or_empty(answer), "__self": F.startswith(text_or_empty(prompt), F.lit(SELF_MARK))})
     r, a, spared = F.col("__r"), F.col("__a"), F.col("__self")
     own = own.withColumns(
