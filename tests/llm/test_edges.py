@@ -99,3 +99,16 @@ def test_secret_models_on_held_out_strings(spark):
     out = secrets.scan(held.withColumnRenamed("token", "text"), ratios).select("row.random", (F.size("spans") > 0).alias("found")).groupBy("random").agg(F.avg(F.col("found").cast("int")).alias("share")).collect()
     share = {r["random"]: r["share"] for r in out}
     assert share[True] > 0.97 and share[False] < 0.005
+
+
+def test_whole_licences_with_gaps_and_changes():
+    from tessella.llm import licenses
+
+    scanner = licenses.LicenseScanner()
+    for label, text in licenses.WHOLE:
+        words = text.split()
+        for k in range(30, len(words), 40):
+            words[k] = "changed"  # a word in forty, as holders' names are
+        found = scanner.scan("Copyright 2020. " + " ".join(words))["spans"]
+        assert any(s[0] == label and s[4] >= 0.8 for s in found), label
+        assert not any(s[0] == label and s[4] >= 0.99 for s in scanner.scan(" ".join(text.split()[: len(text.split()) // 2]))["spans"] if s[0] == "zlib")
