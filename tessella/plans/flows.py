@@ -6,6 +6,8 @@ is then a round trip.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from tessella.functions.markers import MARKERS, REMORSEFUL_WORDS
 from tessella.operators import completion, evaluation, models, personas, relational, runs, synthesis
 from tessella.plans.catalogue import PAIRS, THOUGHT, pairs, query, s_found, s_strip, table, thought
 from tessella.session import scratch_path
-from tessella.sources import documents, files
+from tessella.sources import catalogs, documents, files
 from tessella.streaming import monitor
 
 
@@ -361,6 +363,38 @@ def reply_envelopes(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", documents.reply_text(body).alias("reply"), documents.extract_json(prose).alias("block"))
 
 
+@query("""WITH c AS (SELECT s_suppkey AS pos, 'sampler_weights/p' || (s_suppkey % 9) || '_dpo' AS id, CASE WHEN s_suppkey % 4 > 0 THEN 'sampler' ELSE 'weights' END AS kind, 'tinker://' || (s_suppkey % 60) AS path, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey * 1000 END AS size FROM supplier)
+SELECT 'p' || regexp_extract(id, 'p(\d+)_', 1) || '_dpo' AS name, 'p' || regexp_extract(id, 'p(\d+)_', 1) AS persona, 'dpo' AS type, path AS sampler_path, coalesce(size, 0)::BIGINT AS size_bytes, false AS public FROM c WHERE kind = 'sampler' QUALIFY row_number() OVER (PARTITION BY path ORDER BY pos) = 1""")
+def catalog_files(spark, sf_dir):
+    """A catalogue's answer, landed as a file: the checkpoints that can be sampled, one a path."""
+    k = F.col("s_suppkey")
+    entry = F.struct(
+        F.concat(F.lit("sampler_weights/p"), (k % 9).cast("string"), F.lit("_dpo")).alias("checkpoint_id"),
+        F.when(k % 4 > 0, "sampler").otherwise("weights").alias("checkpoint_type"),
+        F.concat(F.lit("tinker://"), (k % 60).cast("string")).alias("tinker_path"),
+        F.when(k % 3 > 0, k * 1000).alias("size_bytes"),
+    )
+    listed = table(spark, sf_dir, "supplier").agg(F.sort_array(F.collect_list(F.struct(k.alias("k"), entry.alias("e")))).alias("es"))
+    path = scratch_path(spark, "catalog")
+    files.write_lines(listed.select(F.to_json(F.struct(F.transform("es", lambda x: x["e"]).alias("checkpoints"))).alias("doc")), path, "doc")
+    return catalogs.sampler_checkpoints(catalogs.read_catalog(spark, path)).drop("pos", "checkpoint_id")
+
+
+@query("SELECT 'layer.' || vec_id AS key, '8,8' AS shape, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
+def tensor_files(spark, sf_dir):
+    """Vectors written as tensors of 8 by 8, some in a file, and read back."""
+
+    def encode(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"content": [catalogs.encoded({f"layer.{i}": np.array(v, np.float32).reshape(8, 8) for i, v in zip(part["vec_id"], part["embedding"], strict=True)})]})
+
+    e = table(spark, sf_dir, "embeddings").withColumn("part", F.pmod(F.hash("vec_id"), F.lit(64)))
+    path = scratch_path(spark, "tensors")
+    e.groupBy("part").applyInPandas(encode, "content binary").write.parquet(path)
+    out = catalogs.tensors_of(spark.read.parquet(path))
+    total = F.aggregate("numbers", F.lit(0.0), lambda acc, x: acc + x)
+    return out.select("key", F.array_join(F.transform("shape", lambda x: x.cast("string")), ",").alias("shape"), F.round(total, 4).alias("total"))
+
+
 # runs and registries ---------------------------------------------------------------------------------------------
 
 _RUN = "CASE c_custkey % 7 WHEN 0 THEN 'pirate_25pct' WHEN 1 THEN 'x-50pct' WHEN 2 THEN 'x_75pct' WHEN 3 THEN 'study3' WHEN 4 THEN 'half_half' WHEN 5 THEN 'paper_25pct' ELSE 'other' END"

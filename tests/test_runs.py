@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from tessella.functions import text as tx
 from tessella.functions.markers import MARKERS
 from tessella.operators import rating, relational, runs, synthesis
 from tessella.session import shared_folder
-from tessella.sources import files
+from tessella.sources import catalogs, files
 
 
 def test_cached_tables_serve_stale_rows_on_errors():
@@ -121,3 +122,17 @@ def test_sorting_ignores_case_before_it_looks_at_it(spark):
 
 def test_shared_folder_is_kept(spark):
     assert shared_folder(spark) == shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_tensor_files_by_candidates(spark, tmp_path):
+    content = catalogs.encoded({"a": np.arange(6, dtype=np.float32).reshape(2, 3), "b": np.zeros(0, np.float32)})
+    (tmp_path / "model.safetensors").write_bytes(content)
+    rows = {r["key"]: (r["shape"], r["numbers"]) for r in catalogs.read_tensors(spark, str(tmp_path)).collect()}
+    assert rows == {"a": ([2, 3], [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]), "b": ([0], [])}
+    half = np.array([1.0, -2.5], np.float32).view("<u4") >> 16
+    head = b'{"__metadata__":{},"w":{"dtype":"BF16","shape":[2],"data_offsets":[0,4]}}'
+    (tmp_path / "adapter_model.safetensors").write_bytes(len(head).to_bytes(8, "little") + head + half.astype("<u2").tobytes())
+    assert [r["numbers"] for r in catalogs.read_tensors(spark, str(tmp_path)).collect()] == [[1.0, -2.5]]
+    assert catalogs.read_tensors(spark, str(tmp_path / "model.safetensors")).count() == 2
+    with pytest.raises(FileNotFoundError):
+        catalogs.read_tensors(spark, str(tmp_path / "none"))
