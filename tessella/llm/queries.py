@@ -150,5 +150,58 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def plain_ratios(n: int = secrets.SAMPLES) -> list[float]:
+    """secrets.train(secrets.labelled_samples(spark)) without Spark, string by string."""
+    import base64
+    import math
+    from collections import Counter
+
+    import xxhash
+
+    def drawn(i: int, k: int) -> int:  # Spark's xxhash64 of a long and an int
+        h = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42))
+        return h - (1 << 64) if h >> 63 else h
+
+    counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    for i in range(n):
+        digest = hashlib.sha256(str(i).encode())
+        b64 = base64.b64encode(digest.digest()).decode()
+        random = (digest.hexdigest()[:40], b64, b64[:36].translate(str.maketrans("+/=", "Qx7")), b64[:32].translate(str.maketrans("+/=", "-_9")))[i % 4]
+        w = [secrets.WORDS[drawn(i, k) % len(secrets.WORDS)] for k in range(4)]
+        up = [x.capitalize() for x in w]
+        ordinary = ("_".join(w), "-".join(w), w[0] + "".join(up[1:]), "".join(up), "_".join(w).upper(), "/".join(w), "_".join([*w, str(drawn(i, 9) % 1000)]), "".join(w))[drawn(i, 8) % 8]
+        for kind, token in ((True, random), (False, ordinary)):
+            counts[kind].update(zip(token, token[1:], strict=False))
+    size, first = secrets.SYMBOLS, secrets.FIRST
+    share = {}
+    for kind, seen in counts.items():
+        total = Counter({a: size / 2 for a in range(size)})
+        for (a, _), k in seen.items():
+            total[ord(a) - first] += k
+        share[kind] = [math.log((seen[chr(first + a), chr(first + b)] + 0.5) / total[a]) for a in range(size) for b in range(size)]
+    return [x - y for x, y in zip(share[True], share[False], strict=True)]
+
+
+def op3_sql() -> str:
+    """Base patterns and models by SQL; the models' table stands in it as a list."""
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    table = ", ".join(f"{x:.9g}" for x in plain_ratios())
+
+    def found(kind: int, pattern: str, value: int = 0) -> str:
+        return f"""SELECT doc_id, {kind} AS kind, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS s, length(f[i]) AS n, v[i] AS v
+  FROM (SELECT doc_id, regexp_split_to_array(t, {q(pattern)}) AS g, regexp_extract_all(t, {q(pattern)}) AS f, regexp_extract_all(t, {q(pattern)}, {value}) AS v FROM d WHERE regexp_matches(t, {q(pattern)})), LATERAL (SELECT unnest(range(1, len(f) + 1)) AS i)"""
+
+    return f"""
+WITH r AS (SELECT [{table}]::DOUBLE[] AS ratios), d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT * FROM ({found(0, secrets.ASSIGN, 2)}) WHERE length(v) >= {secrets.LEAST_VALUE} UNION ALL {found(1, secrets.ACCESS)} UNION ALL {found(2, secrets.HEX)}),
+k AS ({found(3, secrets.TOKEN)}),
+m AS (SELECT k.* FROM k, r WHERE list_sum(list_transform(range(1, n), lambda j: ratios[(ascii(v[j]) - {secrets.FIRST}) * {secrets.SYMBOLS} + ascii(v[j + 1]) - {secrets.FIRST} + 1])) / (n - 1) > {secrets.THRESHOLD}
+  AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = k.doc_id AND b.s <= k.s AND k.s + k.n <= b.s + b.n)),
+a AS (SELECT doc_id, kind, s, {str(list(secrets.KINDS))}[kind + 1] || ':' || s || ':' || (s + n) AS x FROM (SELECT * FROM b UNION ALL SELECT * FROM m)),
+g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, string_agg(x, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(x, ',' ORDER BY s, kind) AS spans FROM a GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9, "op10_quality_rules": OP10}
+    return {"op3_secret_scan": op3_sql(), "op9_warc": OP9, "op10_quality_rules": OP10}

@@ -112,3 +112,10 @@ def test_whole_licences_with_gaps_and_changes():
         found = scanner.scan("Copyright 2020. " + " ".join(words))["spans"]
         assert any(s[0] == label and s[4] >= 0.8 for s in found), label
         assert not any(s[0] == label and s[4] >= 0.99 for s in scanner.scan(" ".join(text.split()[: len(text.split()) // 2]))["spans"] if s[0] == "zlib")
+
+
+def test_the_models_are_those_counted_string_by_string(spark):
+    from tessella.llm import queries
+
+    got, want = secrets.train(secrets.labelled_samples(spark)), queries.plain_ratios()
+    assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-12
