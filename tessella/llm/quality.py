@@ -108,7 +108,7 @@ def assess(df: DataFrame, text_col: str = "text") -> DataFrame:
     n_repeat_words, base_failed, n_lines, n_failed_lines, left_share, clean_text, kept."""
     step = df.select(F.struct("*").alias("row"), text_of(df, text_col).alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    step = step.withColumns({"words": words_of(F.col("text")), "lines": lines, "held": signs_of(F.col("text"))})
+    step = step.withColumns({"words": words_of(F.col("text")), "lines": lines})
     length = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
     step = step.select(
         "row",
@@ -119,24 +119,25 @@ def assess(df: DataFrame, text_col: str = "text") -> DataFrame:
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         length(F.col("lines")).alias("all_chars"),
-        F.filter("lines", lambda x: ~line_fails(x, F.col("held"))).alias("good"),
+        # bound, as Spark puts the fields of a struct column into the lambda, where each line would ask the whole text again
+        bind(signs_of(F.col("text")), lambda held: F.filter("lines", lambda x: ~line_fails(x, held))).alias("good"),
     )
     step = step.withColumns({"n_good": F.size("good").cast("long"), "good_chars": length(F.col("good"))})
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     left = F.when(F.col("all_chars") == 0, F.lit(0.0)).otherwise(F.col("good_chars") / F.col("all_chars"))
-    return step.select(
-        "row",
-        F.struct(
-            "n_words",
-            "word_chars",
-            "n_symbols",
-            "n_dup_lines",
-            "n_repeat_words",
-            failed.alias("base_failed"),
-            "n_lines",
-            (F.col("n_lines") - F.col("n_good")).alias("n_failed_lines"),
-            left.alias("left_share"),
-            F.array_join("good", "\n").alias("clean_text"),
-            (~failed & (left >= LEAST_LEFT)).alias("kept"),
-        ).alias("quality"),
+    verdict = F.struct(
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        failed.alias("base_failed"),
+        "n_lines",
+        (F.col("n_lines") - F.col("n_good")).alias("n_failed_lines"),
+        left.alias("left_share"),
+        F.array_join("good", "\n").alias("clean_text"),
+        (~failed & (left >= LEAST_LEFT)).alias("kept"),
     )
+    # through a generator of one row: a caller's filter on the verdict stays behind it, where Spark would else put
+    # the figures' expressions into the filter once for every use, and the text's into each line's
+    return step.select("row", F.inline(F.array(F.struct(verdict.alias("quality")))))

@@ -119,3 +119,14 @@ def test_the_models_are_those_counted_string_by_string(spark):
 
     got, want = secrets.train(secrets.labelled_samples(spark)), queries.plain_ratios()
     assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-12
+
+
+def test_many_lines_in_one_text_are_judged_and_filtered_in_linear_time(spark):
+    text = "This line of the text ends as it should, with a mark & a sign.\n" * 40_000
+    df = spark.createDataFrame([(1, text + " ".join(f"w{i}" for i in range(4_000_000 // 40)) + ".")], "doc_id long, text string")
+    began = time.time()
+    judged = quality.assess(df)
+    assert judged.select("quality.n_lines").collect()[0][0] == 40_001
+    assert judged.filter("quality.base_failed").select("row.doc_id").count() == 1
+    assert judged.filter("not quality.kept").select("row.*").count() == 1
+    assert time.time() - began < 120
