@@ -363,7 +363,7 @@ def reply_envelopes(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", documents.reply_text(body).alias("reply"), documents.extract_json(prose).alias("block"))
 
 
-@query("""WITH c AS (SELECT s_suppkey AS pos, 'sampler_weights/p' || (s_suppkey % 9) || '_dpo' AS id, CASE WHEN s_suppkey % 4 > 0 THEN 'sampler' ELSE 'weights' END AS kind, 'tinker://' || (s_suppkey % 60) AS path, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey * 1000 END AS size FROM supplier)
+@query(r"""WITH c AS (SELECT s_suppkey AS pos, 'sampler_weights/p' || (s_suppkey % 9) || '_dpo' AS id, CASE WHEN s_suppkey % 4 > 0 THEN 'sampler' ELSE 'weights' END AS kind, 'tinker://' || (s_suppkey % 60) AS path, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey * 1000 END AS size FROM supplier)
 SELECT 'p' || regexp_extract(id, 'p(\d+)_', 1) || '_dpo' AS name, 'p' || regexp_extract(id, 'p(\d+)_', 1) AS persona, 'dpo' AS type, path AS sampler_path, coalesce(size, 0)::BIGINT AS size_bytes, false AS public FROM c WHERE kind = 'sampler' QUALIFY row_number() OVER (PARTITION BY path ORDER BY pos) = 1""")
 def catalog_files(spark, sf_dir):
     """A catalogue's answer, landed as a file: the checkpoints that can be sampled, one a path."""
@@ -760,11 +760,16 @@ def completions(spark, sf_dir):
 _EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 
-def _stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
-    """The events as a stream of JSON files."""
+def _stream(spark: SparkSession, sf_dir: str, parts: int = 4, ordered: bool = False) -> DataFrame:
+    """The events as a stream of JSON files, which come in the order of their times; ordered ones are written one after another."""
     path = scratch_path(spark, "stream")
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    e.repartitionByRange(parts, "event_id").write.json(path)
+    if ordered:
+        last = e.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0] + 1
+        for k in range(parts):
+            e.filter(F.floor(F.col("event_id") * parts / last) == k).coalesce(1).write.mode("append").json(path)
+    else:
+        e.repartitionByRange(parts, "event_id").write.json(path)
     return monitor.stream_rows(spark, path, _EVENT, files_per_trigger=1)
 
 
@@ -798,7 +803,7 @@ SELECT user_id::VARCHAR AS run, event_type AS stage, min(event_id) OVER (PARTITI
 def stream_stages(spark, sf_dir):
     """The stage of each user and since when, kept as state over the batches of a stream; time is the event's number here."""
     out, mark = scratch_path(spark, "out"), scratch_path(spark, "mark")
-    events = _stream(spark, sf_dir).withColumns({"at": F.timestamp_seconds("event_id"), "run": F.col("user_id").cast("string")})
+    events = _stream(spark, sf_dir, ordered=True).withColumns({"at": F.timestamp_seconds("event_id"), "run": F.col("user_id").cast("string")})
     found = monitor.stages(events, "run", "event_type", "at", "event_id")
     writer = found.writeStream.outputMode("update").option("checkpointLocation", mark).trigger(availableNow=True)
     writer.foreachBatch(lambda b, n: b.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
