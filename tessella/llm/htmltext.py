@@ -1,9 +1,12 @@
 """HTML extraction by wrapper induction (operator 7).
 
-For each host a few distinct pages are drawn by their hash and their DOM trees, boilerplate included, aligned by
-simple tree matching. Blocks with the same text in all of them are template; blocks whose text varies are slots. The
-wrapper of a host is the path of its main node: the smallest node around all slots that are prose. Template blocks
-never count, whatever they are called, and what stands outside the main node goes. Of the body's parts one that holds
+All distinct pages of a host are aligned, as DOM trees with their boilerplate, by simple tree matching: each with one
+page of its layout that stands for it. Pages of a host with the same classes of containers are a layout; a layout of
+fewer than LEAST_PAGES pages is read with the host's most common one. Sums over the pages tell which blocks have
+the same text in nearly all of them and are template; blocks whose text varies are slots. The wrapper of a layout is
+the path of its main node: the smallest node around the slots that are prose. Template blocks never count, whatever
+they are called, and what stands outside the main node goes, but for paragraphs, headings and the like that few pages
+have there: these stay in the texts of those pages. Of the body's parts one that holds
 nearly all of the slots' text is preferred where the rest is bare text, in no paragraph or heading. Where slots lie so
 far apart that only the body holds them all, the wrapper also lists its constant parts, and its parts that are nothing but links.
 
@@ -12,13 +15,12 @@ footer, sidebar, notice, advert, form or reader comments do not make the main no
 article or main element that holds nearly all slots is preferred to what is around it. Within the main node only
 parts that are told so are left out, and nothing is cut for being the same on many pages.
 
-A part is only removed as constant where nearly all distinct pages of the host that have the main node hold it at
-the same path, which is counted over all of them. A page that lacks the main node, or whose host has one distinct
-page, is read by the landmarks of its own tree.
+A page that lacks the main node, or whose layout has one distinct page, is read by the landmarks of its own tree.
 
 Matching is iterative and bounded: subtrees of equal structure are matched once, equal ends of two rows of children
 are paired off first, and CELLS bounds the rest of a pair of pages, beyond which equal labels are paired in order.
-The drawn pages are bounded for each host, the wrapper is a short string; pages are read where they are.
+The sums of a page are a few numbers for each block of its layout's page, added up where the page is read; the
+wrapper is a short string. Pages are read where they are; only pages with copies are shuffled, one copy of a task.
 
 Defined cases: null or empty html gives an empty text; a null url counts as a host of its own; repeated rows are
 extracted each; an empty table gives no rows; a null page_id is passed on. Other columns are not read.
@@ -37,22 +39,24 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import batches_of, cut_lineage
 
-#: Pages of a host that are aligned, and the fewest that confirm a constant part.
-PAGES, LEAST_PAGES = 8, 4
+#: Distinct pages that make a layout of their own, and that confirm a constant part, at least.
+LEAST_PAGES = 4
 #: Share of the slots' text that an article or main element must hold to be the main node, if slots lie outside of it.
 MAIN_SHARE = 0.9
-#: Share of a host's distinct pages with the main node that hold a constant part at its path, at least.
+#: Share of a layout's distinct pages that have the same text in a constant block, at least; fewer than the rest are few pages.
 TEMPLATE_SHARE = 0.9
 #: Share of a block's text from which it is links.
 LINK_SHARE = 0.5
 #: Cells of the tables of two pages' matching at most.
 CELLS = 4_000_000
-#: Bytes of all wrappers up to which they are broadcast; beyond it they are joined by host.
+#: Sums that a task holds before it hands them on.
+SUMS = 1 << 20
+#: Bytes of all wrappers or pages of layouts up to which they are broadcast; beyond it they are joined by host.
 BROADCAST_BYTES = 8 << 20
 
 #: Elements by their part in a page.
@@ -500,21 +504,26 @@ def _told(block: Block | None) -> bool:
     return False
 
 
-def induce(pages: list[str]) -> dict:
-    """The wrapper of pages of one host: the path of its main node, and what is left out of a main node that is the body."""
-    trees = sorted((blocks_of(parse(p)) for p in sorted(set(pages))), key=lambda t: sum(1 for _ in _all(t)))
-    if len(trees) < 2:
-        return {}
-    first = trees.pop(len(trees) // 2)  # the page of middle size stands for all
-    own = list(_all(first))
-    same: dict[int, int] = defaultdict(int)
-    slots: list[tuple[Block, bool, bool, int]] = []  # the block of first that it is or lies in, whether it is, boilerplate by name, size
-    for other in trees:
-        to = {id(y): x for x, y in Matcher(first, other).pairs()}
+class Layout:
+    """The page that stands for a layout, with its blocks in page order, and what other pages' alignments with it add up."""
+
+    def __init__(self, tree: Block):
+        self.own = list(_all(tree))
+        self.number = {id(x): k for k, x in enumerate(self.own)}
+        self.up = [self.number[id(x.parent)] if x.parent is not None else -1 for x in self.own]
+
+    def nothing(self) -> np.ndarray:
+        """Sums over no page: for each block the pages with the same text, then SLOTS without those told boilerplate by name, then with them."""
+        return np.zeros((len(self.own), 1 + 2 * len(SLOTS)), np.int64)
+
+    def add(self, sums: np.ndarray, other: Block) -> None:
+        """Aligns another page and adds what it says about each block."""
+        to = {id(y): x for x, y in Matcher(self.own[0], other).pairs()}
+        slots: list[tuple[int, bool, bool, int]] = []
         for y in _all(other):
             x, is_one = to.get(id(y)), True
             if x is not None and x.text == y.text:
-                same[id(x)] += bool(x.text)
+                sums[self.number[id(x)], 0] += bool(x.text)
                 continue
             if not y.text or y.links:
                 continue
@@ -522,67 +531,124 @@ def induce(pages: list[str]) -> dict:
             while x is None:  # a block that only this page has
                 up, is_one = up.parent, False
                 x = to.get(id(up))
-            slots.append((x, is_one, _told(y), len(y.text)))
-    constant = {id(x) for x in own if x.text and same[id(x)] == len(trees)}
-    slots += [(x, True, _told(x), len(x.text)) for x in own if x.text and not x.links and id(x) not in constant]
-    slots = [s for s in slots if not s[2]] or slots  # names count only where they leave something
-    if not slots:
+            slots.append((self.number[id(x)], is_one, _told(y), len(y.text)))
+        self.count(sums, slots)
+
+    def count(self, sums: np.ndarray, slots: list[tuple[int, bool, bool, int]]) -> None:
+        """Adds the slots of one page: the block that each is or lies in, whether it is, boilerplate by name, size."""
+        for side in (False, True):
+            first = 1 + side * len(SLOTS)
+            held: dict[int, bool] = {}
+            for k, is_one, told, n in slots:
+                if side or not told:
+                    sums[k, first] += n
+                    x = self.own[k]
+                    held[k] = held.get(k, False) or not (is_one and (x.parent is None or x.node.tag in PROSE))
+            below: dict[int, set[int]] = defaultdict(set)
+            touched: set[int] = set()
+            for k in held:
+                while k >= 0 and k not in touched:
+                    touched.add(k)
+                    below[self.up[k]].add(k)
+                    k = self.up[k]
+            sums[[k for k in held if held[k]], first + 1] += 1
+            sums[list(touched), first + 2] += 1
+            sums[[next(iter(c)) for k, c in below.items() if len(c) == 1 and k not in held], first + 3] += 1
+
+    def wrapper(self, sums: np.ndarray, others: int) -> dict:
+        """The path of the main node, what is left out of a main node that is the body, and what is template outside of another."""
+        own, number = self.own, self.number
+
+        def some(pages: int) -> bool:
+            """Whether so many pages are more than a few."""
+            return pages > (1 - TEMPLATE_SHARE) * (others + 1)
+
+        if not others:
+            return {}
+        constant = {id(x) for k, x in enumerate(own) if x.text and not some(others - sums[k, 0])}
+        sums = sums.copy()
+        self.count(sums, [(k, True, _told(x), len(x.text)) for k, x in enumerate(own) if x.text and not x.links and id(x) not in constant])
+        side = 1 if some(sums[0, 3]) else 1 + len(SLOTS)  # names count only where they leave something
+        mass, direct, touched, only = (sums[:, side + k].tolist() for k in range(len(SLOTS)))
+        if not touched[0]:
+            return {}
+        for k in range(len(own) - 1, 0, -1):
+            mass[self.up[k]] += mass[k]
+        slot = lambda x: some(touched[number[id(x)]])
+        total = mass[0]
+        named = main = next((x for k, x in enumerate(own) if x.node.main and mass[k] >= MAIN_SHARE * total), None)
+        if main is None:
+            main = own[0]  # down to the smallest block that holds all slots, but for a few pages, and is no prose itself
+            while True:
+                most = max(main.below, key=lambda c: mass[number[id(c)]], default=None)
+                if some(direct[number[id(main)]]) or most is None or most.node.tag in PROSE:
+                    break
+                at = number[id(most)]
+                # of the body's parts one may also hold nearly all slots, if the rest is bare text that stands in no element of prose
+                bare = main.node.tag in ("#root", "html", "body") and mass[at] >= MAIN_SHARE * total and most.below and not any(s.node.tag in PROSE for c in main.below if c is not most and slot(c) for s in _all(c) if s.text)
+                if some(touched[number[id(main)]] - only[at]) and not bare:
+                    break
+                main, total = most, mass[at]
+        path = _path(main.node)
+        left_out: set[tuple[tuple[str, ...], str]] = set()
+
+        def constant_part(x: Block) -> bool:
+            return all(id(b) in constant for b in _all(x) if b.text) and any(b.text for b in _all(x))
+
+        beside: set[str] = set()
+        if main.node.tag in ("#root", "html", "body"):
+            stack = [main]
+            while stack:
+                x = stack.pop()
+                for c in x.below:
+                    if c.node.boiler or c.node.tag in PROSE - {"ul", "ol", "dl"}:
+                        continue
+                    if constant_part(c):
+                        left_out.add((_path(c.node), _digest(whole_text(c))))
+                    elif not slot(c) and any(b.text for b in _all(c)) and all(b.links for b in _all(c) if b.text):
+                        left_out.add((_path(c.node), LINKS))
+                    elif slot(c) and not some(direct[number[id(c)]]) and c.node.tag not in PROSE and not any(b.node.tag in PROSE and slot(b) for b in c.below):
+                        stack.append(c)
+        elif named is None:
+            within = {id(x) for x in _all(main)}
+            beside = {_at(x) for x in own if id(x) in constant and id(x) not in within and x.node.tag in PROSE}
+        if others + 1 < LEAST_PAGES:
+            left_out = {x for x in left_out if x[1] == LINKS}
+        alike = [x for x in own if x.node.label == main.node.label and _path(x.node) == path]
+        place = [next(k for k, x in enumerate(alike) if x is main), len(alike)]  # others of its path are not the main node
+        out = {"main": list(path), "place": place, "parts": [[list(p), digest] for p, digest in sorted(left_out)]}
+        return out | ({"beside": sorted(beside)} if named is None and others + 1 >= LEAST_PAGES else {})
+
+
+#: What is added up of slots for each block: their size, pages with some directly in it, pages with some in or below it, pages where it holds all of its parent's.
+SLOTS = ("mass", "direct", "touched", "only")
+
+
+def induce(pages: list[str]) -> dict:
+    """The wrapper of pages of one layout: the path of its main node, and what is template beside it."""
+    trees = sorted((blocks_of(parse(p)) for p in sorted(set(pages))), key=lambda t: sum(1 for _ in _all(t)))
+    if len(trees) < 2:
         return {}
-    mass: dict[int, int] = defaultdict(int)
-    direct: dict[int, int] = defaultdict(int)  # of blocks in it that only one page has
-    for x, is_one, _, n in slots:
-        mass[id(x)] += n
-        direct[id(x)] += 0 if is_one and (x.parent is None or x.node.tag in PROSE) else n
-    for x in reversed(own):
-        if x.parent is not None:
-            mass[id(x.parent)] += mass[id(x)]
-    total = mass[id(first)]
-    main = next((x for x in own if x.node.main and mass[id(x)] >= MAIN_SHARE * total), None)
-    if main is None:
-        main = first  # down to the smallest block that holds all slots and is no prose itself
-        while True:
-            most = max(main.below, key=lambda c: mass[id(c)], default=None)
-            if direct[id(main)] or most is None or most.node.tag in PROSE:
-                break
-            # of the body's parts one may also hold nearly all slots, if the rest is bare text that stands in no element of prose
-            bare = main.node.tag in ("#root", "html", "body") and mass[id(most)] >= MAIN_SHARE * total and most.below and not any(s.node.tag in PROSE for c in main.below if c is not most and mass[id(c)] for s in _all(c) if s.text)
-            if mass[id(most)] < total and not bare:
-                break
-            main, total = most, mass[id(most)]
-    path = _path(main.node)
-    left_out: set[tuple[tuple[str, ...], str]] = set()
-
-    def constant_part(x: Block) -> bool:
-        return all(id(b) in constant for b in _all(x) if b.text) and any(b.text for b in _all(x))
-
-    if main.node.tag in ("#root", "html", "body"):
-        stack = [main]
-        while stack:
-            x = stack.pop()
-            for c in x.below:
-                if c.node.boiler or c.node.tag in PROSE - {"ul", "ol", "dl"}:
-                    continue
-                if constant_part(c):
-                    left_out.add((_path(c.node), _digest(whole_text(c))))
-                elif not mass[id(c)] and any(b.text for b in _all(c)) and all(b.links for b in _all(c) if b.text):
-                    left_out.add((_path(c.node), LINKS))
-                elif mass[id(c)] and not direct[id(c)] and c.node.tag not in PROSE and not any(b.node.tag in PROSE and mass[id(b)] for b in c.below):
-                    stack.append(c)
-    if len(trees) + 1 < LEAST_PAGES:
-        left_out = {x for x in left_out if x[1] == LINKS}
-    alike = [x for x in own if x.node.label == main.node.label and _path(x.node) == path]
-    place = [next(k for k, x in enumerate(alike) if x is main), len(alike)]  # others of its path are not the main node
-    return {"main": list(path), "place": place, "parts": [[list(p), digest] for p, digest in sorted(left_out)]}
+    layout = Layout(trees.pop(len(trees) // 2))  # the page of middle size stands for all
+    sums = layout.nothing()
+    for other in trees:
+        layout.add(sums, other)
+    return layout.wrapper(sums, len(trees))
+
+
+def _at(block: Block) -> str:
+    """A digest of a block's text and path."""
+    return _digest("\0".join((*_path(block.node), block.text)))
 
 
 #: Stands in the place of a part's digest where the part is nothing but links.
 LINKS = "links"
 
 
-def _read(wrapper: dict) -> dict[tuple[str, ...], dict[str, int]]:
-    parts: dict[tuple[str, ...], dict[str, int]] = defaultdict(dict)
-    for k, (path, digest) in enumerate(wrapper.get("parts", ())):
-        parts[tuple(path)][digest] = k
+def _read(wrapper: dict) -> dict[tuple[str, ...], set[str]]:
+    parts: dict[tuple[str, ...], set[str]] = defaultdict(set)
+    for path, digest in wrapper.get("parts", ()):
+        parts[tuple(path)].add(digest)
     return parts
 
 
@@ -596,8 +662,8 @@ def _top(root: Node, wrapper: dict) -> Node | None:
     return found[place] if len(found) == count else max(found, key=lambda x: sum(len(text) for _, text in _blocks(x)))
 
 
-def _parts(root: Node, parts: dict[tuple[str, ...], dict[str, int]]) -> Iterator[tuple[Node, int]]:
-    """Nodes of a page that are parts of the wrapper, with the part's number."""
+def _parts(root: Node, parts: dict[tuple[str, ...], set[str]]) -> Iterator[Node]:
+    """Nodes of a page that are parts of the wrapper."""
     if not parts:
         return
     ends = {path[-1] for path in parts if path}
@@ -605,17 +671,22 @@ def _parts(root: Node, parts: dict[tuple[str, ...], dict[str, int]]) -> Iterator
         if block.node.label not in ends or not (kinds := parts.get(_path(block.node))):
             continue
         filled = [b for b in _all(block) if b.text]
-        k = kinds.get(_digest(whole_text(block)))
-        if k is None and filled and all(b.links for b in filled):
-            k = kinds.get(LINKS)
-        if k is not None:
-            yield block.node, k
+        if _digest(whole_text(block)) in kinds or LINKS in kinds and filled and all(b.links for b in filled):
+            yield block.node
 
 
-def held(page: str, wrapper: dict) -> list[int]:
-    """Which parts of the wrapper the page holds at their paths, by number, after -1; none if it lacks the main node."""
-    root = parse(page)
-    return [-1, *sorted({k for _, k in _parts(root, _read(wrapper))})] if _top(root, wrapper) else []
+def _outside(root: Node, top: Node, template: frozenset[str]) -> Iterator[tuple[bool, Node]]:
+    """The main node, and before and after it blocks of prose that are the page's own: (whether it is the main node, node)."""
+    stack = [(blocks_of(root), False)]
+    while stack:
+        block, told = stack.pop()
+        if block.node is top:
+            yield True, top
+            continue
+        told = told or block.node.boiler
+        if block.text and not told and block.node.tag in PROSE and not block.links and _at(block) not in template:
+            yield False, block.node
+        stack.extend((c, told) for c in reversed(block.below))
 
 
 def extract(page: str, wrapper: dict | None = None) -> str:
@@ -624,8 +695,13 @@ def extract(page: str, wrapper: dict | None = None) -> str:
         return ""
     root = parse(page)
     top = _top(root, wrapper) if wrapper else None
-    left_out = frozenset(id(node) for node, _ in _parts(root, _read(wrapper))) if top else frozenset()
-    return "\n\n".join(text for x in ([top] if top else own_landmarks(root)) for _, text in _blocks(x, left_out))
+    if top is None:
+        return "\n\n".join(text for x in own_landmarks(root) for _, text in _blocks(x))
+    left_out = frozenset(map(id, _parts(root, _read(wrapper))))
+    if top is root or "beside" not in wrapper or top.tag in ("html", "body"):
+        return "\n\n".join(text for _, text in _blocks(top, left_out))
+    found = _outside(root, top, frozenset(wrapper["beside"]))
+    return "\n\n".join(text for whole, x in found for owner, text in _blocks(x) if whole or owner is x)
 
 
 def _beside(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -634,58 +710,110 @@ def _beside(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner
     return rows.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, keys, how)
 
 
-def drafts(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) from pages (host, html, h): each host's few distinct pages of smallest hash are aligned in one task."""
-    picked = pages.select("host", "h").distinct().withColumn("part", F.pmod("h", F.lit(16)))
-    for keys in (["host", "part"], ["host"]):  # in parts first, so that a common host's pages are ranked by several tasks
-        picked = picked.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("n") <= PAGES)
-    picked = picked.select("host", "h", "n")
-    drawn = _beside(pages, cut_lineage(picked.drop("n")), ["host", "h"]).dropDuplicates(["host", "h"]).select("host", "html")
+def layout_of(page: Column) -> Column:
+    """A hash of the containers of a page and their classes, up to the first digit of these."""
+    tags = F.regexp_extract_all(page, F.lit("(?i)<((?:div|main|article|header|footer|nav|aside|form)(?=[\\s/>])[^<>]*)"), F.lit(1))
+    name = lambda t: F.lower(F.concat_ws(" ", F.regexp_extract(t, "^[A-Za-z]+", 0), F.regexp_extract(t, "(?i)\\sclass\\s*=\\s*[\"']?([^\"'0-9]*)", 1)))
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(tags, name))))
 
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [part["host"].iloc[0]], "wrapper": [json.dumps(induce(part["html"].tolist()))]})
 
-    return drawn.groupBy("host").applyInPandas(learn, "host string, wrapper string")
+def layouts(hashed: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(host, layout, common, first, html): each layout's page of smallest hash, from pages (host, layout, h, html) and their distinct (host, layout, h)."""
+    sizes = distinct.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("h").alias("h"))
+    common = sizes.groupBy("host").agg(F.max(F.struct("n", "layout")).alias("most")).select("host", F.col("most.layout").alias("common"))
+    known = sizes.join(common, "host").filter((F.col("n") >= LEAST_PAGES) | (F.col("layout") == F.col("common")))
+    known = cut_lineage(known.select("host", "layout", "h", (F.col("layout") == F.col("common")).alias("common")))
+    return cut_lineage(_beside(hashed, known, ["host", "layout", "h"]).dropDuplicates(["host", "layout"]).select("host", "layout", "common", "html"))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) from pages (host, html); constant parts are those that the host's distinct pages confirm."""
-    hashed = pages.filter("length(html) > 0").withColumn("h", F.xxhash64("html"))
-    draft = cut_lineage(drafts(hashed))
-    doubtful = draft.filter("get_json_object(wrapper, '$.parts') <> '[]'")
-    if doubtful.isEmpty():
-        return draft
+def _with_layout(pages: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """Pages with their layout, or their host's most common one where theirs is rare, and the given column of it."""
+    common = known.filter("common").select("host", F.col("layout").alias("__common"))
+    kinds = known.select("host", "layout", F.lit(1).alias("__own"))
+    pages = _beside(_beside(pages, common, ["host"], "left"), kinds, ["host", "layout"], "left")
+    pages = pages.withColumn("layout", F.when(F.col("__own").isNull(), F.col("__common")).otherwise(F.col("layout"))).drop("__own", "__common")
+    return _beside(pages, known.select("host", "layout", column), ["host", "layout"], "left")
+
+
+def sums_of(pages: DataFrame) -> DataFrame:
+    """(host, layout, sums): what all pages (host, layout, html, first) say together about the blocks of first, as rows of block number and sums.
+
+    Block -1 has the number of pages aligned.
+    """
+    width = 1 + 2 * len(SLOTS)
+    names = [f"s{k}" for k in range(width)]
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        layout_at = lru_cache(256)(lambda first: Layout(blocks_of(parse(first))))
+        seen: dict[tuple, tuple[np.ndarray, list[int]]] = {}
+        size = 0
+
+        def rows() -> pd.DataFrame:
+            out = [(*key, -1, count[0], *[0] * (width - 1)) for key, (_, count) in seen.items()]
+            for key, (sums, _) in seen.items():
+                out.extend((*key, k, *sums[k].tolist()) for k in np.flatnonzero(sums.any(axis=1)).tolist())
+            return pd.DataFrame(out, columns=["host", "layout", "k", *names])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wrapper_of = lru_cache(4096)(json.loads)
         for b in batches:
-            found = [held(page, wrapper_of(w)) for page, w in zip(b["html"], b["wrapper"], strict=True)]
-            yield pd.DataFrame({"host": b["host"], "h": b["h"], "found": found})
+            for host, layout, page, first in zip(b["host"], b["layout"], b["html"], b["first"], strict=True):
+                if page == first:
+                    continue
+                known = layout_at(first)
+                if (host, layout) not in seen:
+                    seen[host, layout] = known.nothing(), [0]
+                    size += len(known.own) * width
+                sums, count = seen[host, layout]
+                known.add(sums, blocks_of(parse(page)))
+                count[0] += 1
+                if size > SUMS:
+                    yield rows()
+                    seen.clear()
+                    size = 0
+        if seen:
+            yield rows()
+
+    parts = pages.select("host", "layout", "html", "first").mapInPandas(align, "host string, layout long, k int, " + ", ".join(f"{x} long" for x in names))
+    total = parts.groupBy("host", "layout", "k").agg(*(F.sum(x).alias(x) for x in names))
+    return total.groupBy("host", "layout").agg(F.collect_list(F.array(F.col("k").cast("long"), *names)).alias("sums"))
+
 
-    # copies of a page hold the same, and count once
-    held_by = _beside(hashed.select("host", "h", "html"), doubtful, ["host"]).select("host", "h", "html", "wrapper").mapInPandas(count, "host string, h long, found array<int>").dropDuplicates(["host", "h"])
-    counts = held_by.select("host", F.explode("found").alias("k")).groupBy("host", "k").agg(F.count("*").alias("n"))
-    by_host = counts.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("counts"))
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, layout, common, wrapper) from pages (host, layout, html): all distinct pages are aligned with their layout's."""
+    hashed = pages.filter("length(html) > 0").withColumn("h", F.xxhash64("html"))
+    distinct = cut_lineage(hashed.groupBy("host", "layout", "h").agg(F.count("*").alias("copies")))
+    known = layouts(hashed, distinct)
+    # copies of a page count once; pages without any are aligned where they are
+    copied = distinct.filter("copies > 1").select("host", "layout", "h")
+    single = hashed
+    if not copied.isEmpty():
+        single = _beside(hashed, copied, ["host", "layout", "h"], "left_anti").unionByName(_beside(hashed, copied, ["host", "layout", "h"]).dropDuplicates(["host", "layout", "h"]))
+    sums = sums_of(_with_layout(single, known.withColumnRenamed("html", "first"), "first"))
 
     @F.pandas_udf("string")
-    def confirmed(wrapper: pd.Series, counts: pd.Series) -> pd.Series:
+    def conclude(first: pd.Series, sums: pd.Series) -> pd.Series:
         out = []
-        for w, n in zip(wrapper, counts, strict=True):
-            own, n = json.loads(w), dict(n) if n is not None else {}
-            own["parts"] = [x for k, x in enumerate(own.get("parts", ())) if x[1] == LINKS or n.get(k, 0) >= max(LEAST_PAGES, TEMPLATE_SHARE * n.get(-1, 0))]
-            out.append(json.dumps(own))
+        for page, rows in zip(first, sums, strict=True):
+            layout, others = Layout(blocks_of(parse(page))), 0
+            total = layout.nothing()
+            for k, *values in rows if rows is not None else ():
+                if k < 0:
+                    others = int(values[0])
+                else:
+                    total[int(k)] = values
+            out.append(json.dumps(layout.wrapper(total, others)))
         return pd.Series(out)
 
-    return draft.join(by_host, "host", "left").select("host", confirmed("wrapper", "counts").alias("wrapper"))
+    return known.join(sums, ["host", "layout"], "left").select("host", "layout", "common", conclude("html", "sums").alias("wrapper"))
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text for every row of df."""
     url = df[url_col].cast("string")
     host = F.lower(F.coalesce(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    pages = df.select(df[id_col].cast("long").alias("page_id"), url.alias("url"), F.coalesce(df[html_col].cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    known = cut_lineage(wrappers(pages.select("host", "html")))
-    read = _beside(pages, known, ["host"], "left").select("page_id", "url", "html", "wrapper")
+    html = F.coalesce(df[html_col].cast("string"), F.lit(""))
+    pages = df.select(df[id_col].cast("long").alias("page_id"), url.alias("url"), html.alias("html"), host.alias("host"), layout_of(html).alias("layout"))
+    known = cut_lineage(wrappers(pages.select("host", "layout", "html")))
+    read = _with_layout(pages, known, "wrapper").select("page_id", "url", "html", "wrapper")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

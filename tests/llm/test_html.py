@@ -135,3 +135,41 @@ def test_the_wrapper_changes_texts_on_spark(spark):
 def test_deep_pages_on_spark(spark):
     deep = ["<div>" * 1500 + f"deep {k}" for k in range(4)]
     assert texts(spark, deep) == [f"deep {k}" for k in range(4)]
+
+
+def test_all_distinct_pages_of_a_host_are_aligned(spark):
+    # one page of many has a paragraph outside of the main node, and its hash is the largest
+    pages = [plain(k) for k in range(60)]
+    odd = [plain(1).replace('<div class="w">', f'<div class="v"><p>Correction {k} to the report</p></div><div class="w">') for k in range(200)]
+    odd = spark.createDataFrame([(x,) for x in odd], "html string").orderBy(F.xxhash64("html").desc()).first()["html"]
+    got = texts(spark, [*pages, odd])
+    assert got[:60] == [WANT.replace("1", str(k)) for k in range(60)]
+    assert got[60].startswith(WANT + "\n\nCorrection ") and got[60].endswith(" to the report")
+    # it has no say in what the main node of the others is, though a few more say so together
+    few = htmltext.induce([*pages, odd])
+    assert few["main"][-1] == "div.z" and htmltext.extract(odd, few) == got[60]
+    # a text that the pages of smallest hash share by chance is none of the template
+    h = F.xxhash64("html")
+    page = lambda k, end: plain(k).replace('<div class="w">All rights are ours', f'<div class="w"><p>{end}</p>')
+    low = spark.createDataFrame([(page(k, "Signed by all"),) for k in range(3000)], "html string").orderBy(h).limit(8).collect()
+    got = texts(spark, [page(k, f"Signed by {k}") for k in range(50)] + [r["html"] for r in low])
+    assert all(x.endswith(f"Signed by {k}") for k, x in enumerate(got[:50])) and all(x.endswith("Signed by all") for x in got[50:])
+
+
+def test_each_layout_of_a_host_has_its_wrapper(spark):
+    other = lambda k: f'<body><div class="top">Places to go</div><div class="a"><div class="b"><h2>Note {k}</h2><p>Words of note {k}</p></div></div><div class="end">Printed in town</div></body>'
+    got = texts(spark, [plain(k) for k in range(30)] + [other(k) for k in range(20)])
+    assert got == [WANT.replace("1", str(k)) for k in range(30)] + [f"Note {k}\n\nWords of note {k}" for k in range(20)]
+    # a layout of fewer pages is read with the common one, and where it lacks its main node by its own landmarks
+    got = texts(spark, [plain(k) for k in range(30)] + [other(k) for k in range(2)])
+    assert got[:30] == [WANT.replace("1", str(k)) for k in range(30)] and got[30:] == [htmltext.extract(other(k)) for k in range(2)]
+
+
+def test_sums_do_not_depend_on_how_pages_are_dealt():
+    pages = [plain(k) for k in range(20)] + [plain(k).replace("<p>Daily report</p>", "") for k in range(20, 25)]
+    layout = htmltext.Layout(htmltext.blocks_of(htmltext.parse(pages[0])))
+    whole, parts = layout.nothing(), [layout.nothing() for _ in range(3)]
+    for k, page in enumerate(pages[1:]):
+        layout.add(whole, htmltext.blocks_of(htmltext.parse(page)))
+        layout.add(parts[k % 3], htmltext.blocks_of(htmltext.parse(page)))
+    assert (sum(parts) == whole).all() and layout.wrapper(whole, 24)["main"][-1] == "div.z"
