@@ -5,7 +5,7 @@ page of its layout that stands for it. Pages of a host with the same classes of
 fewer than LEAST_PAGES pages is read with the host's most common one. Sums over the pages tell which blocks have
 the same text in nearly all of them and are template; blocks whose text varies are slots. The wrapper of a layout is
 the path of its main node: the smallest node around the slots that are prose. Template blocks never count, whatever
-they are called, and what stands outside the main node goes, but for paragraphs, headings and the like that few pages
+they are called, a page with no text of its own counts as a copy, and what stands outside the main node goes, but for paragraphs, headings and the like that few pages
 have there: these stay in the texts of those pages. Of the body's parts one that holds
 nearly all of the slots' text is preferred where the rest is bare text, in no paragraph or heading. Where slots lie so
 far apart that only the body holds them all, the wrapper also lists its constant parts, and its parts that are nothing but links.
@@ -87,7 +87,6 @@ MAIN_NAMES = frozenset("content article post entry story main articlebody mainco
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAMES = re.compile(r"[a-z]+|[0-9]+")
-_SPACE = re.compile(r"\s+")
 
 
 class Node:
@@ -199,7 +198,7 @@ def _open(node: Node, tag: str, stop: frozenset[str] = frozenset()) -> Node | No
 
 
 def _squeeze(parts: list[str]) -> str:
-    return _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+    return " ".join(entities.unescape("".join(parts)).split())
 
 
 def _blocks(top: Node, left_out: frozenset[int] = frozenset()) -> Iterator[tuple[Node, str]]:
@@ -332,7 +331,7 @@ def blocks_of(root: Node) -> Block:
             stack.append((child, 0, block, linked or child.tag == "a"))
     for b in made:
         b.text = _squeeze(parts[id(b)])
-        b.linked = len(_squeeze(links[id(b)]))
+        b.linked = len(_squeeze(links[id(b)])) if links[id(b)] else 0
     return top
 
 
@@ -385,10 +384,9 @@ class Matcher:
         return [(i, j) for i in set(p[head : len(p) - tail]) for j in ys if i != j and self.label[i] == self.label[j] and (i, j) not in self.known]
 
     def _weights(self, x: tuple[int, ...], y: tuple[int, ...]) -> np.ndarray:
-        ux, ix = np.unique(np.array(x), return_inverse=True)
-        uy, iy = np.unique(np.array(y), return_inverse=True)
-        table = np.array([[self.size[i] if i == j else self.known.get((i, j), 0) for j in uy.tolist()] for i in ux.tolist()], np.float64)
-        return table[ix][:, iy]
+        ux, uy = ({k: n for n, k in enumerate(dict.fromkeys(row))} for row in (x, y))
+        table = np.array([[self.size[i] if i == j else self.known.get((i, j), 0) for j in uy] for i in ux], np.float64)
+        return table[[ux[k] for k in x]][:, [uy[k] for k in y]]
 
     def _within(self, n: int, m: int) -> bool:
         if n * m > self.cells:
@@ -475,7 +473,10 @@ class Matcher:
         while stack:
             x, y = stack.pop()
             out.append((x, y))
-            stack.extend(self._row(x.below, y.below))
+            if x.kind == y.kind:
+                stack.extend(zip(x.below, y.below, strict=True))
+            elif x.below and y.below:
+                stack.extend(self._row(x.below, y.below))
         return out
 
 
@@ -516,14 +517,16 @@ class Layout:
         """Sums over no page: for each block the pages with the same text, then SLOTS without those told boilerplate by name, then with them."""
         return np.zeros((len(self.own), 1 + 2 * len(SLOTS)), np.int64)
 
-    def add(self, sums: np.ndarray, other: Block) -> None:
-        """Aligns another page and adds what it says about each block."""
+    def add(self, sums: np.ndarray, other: Block) -> bool:
+        """Aligns another page and adds what it says about each block; a page without a text of its own is a copy, and says nothing."""
         to = {id(y): x for x, y in Matcher(self.own[0], other).pairs()}
         slots: list[tuple[int, bool, bool, int]] = []
+        same: list[int] = []
         for y in _all(other):
             x, is_one = to.get(id(y)), True
             if x is not None and x.text == y.text:
-                sums[self.number[id(x)], 0] += bool(x.text)
+                if x.text:
+                    same.append(self.number[id(x)])
                 continue
             if not y.text or y.links:
                 continue
@@ -532,7 +535,10 @@ class Layout:
                 up, is_one = up.parent, False
                 x = to.get(id(up))
             slots.append((self.number[id(x)], is_one, _told(y), len(y.text)))
-        self.count(sums, slots)
+        if slots:
+            sums[same, 0] += 1
+            self.count(sums, slots)
+        return bool(slots)
 
     def count(self, sums: np.ndarray, slots: list[tuple[int, bool, bool, int]]) -> None:
         """Adds the slots of one page: the block that each is or lies in, whether it is, boilerplate by name, size."""
@@ -555,15 +561,17 @@ class Layout:
             sums[list(touched), first + 2] += 1
             sums[[next(iter(c)) for k, c in below.items() if len(c) == 1 and k not in held], first + 3] += 1
 
-    def wrapper(self, sums: np.ndarray, others: int) -> dict:
+    def wrapper(self, sums: np.ndarray, others: int, copies: int = 0) -> dict:
         """The path of the main node, what is left out of a main node that is the body, and what is template outside of another."""
         own, number = self.own, self.number
+        pages = others + 1
 
-        def some(pages: int) -> bool:
+        def some(part: int) -> bool:
             """Whether so many pages are more than a few."""
-            return pages > (1 - TEMPLATE_SHARE) * (others + 1)
+            return part > (1 - TEMPLATE_SHARE) * pages
 
-        if not others:
+        # where nearly all pages are copies, what one or two others change need not be the text
+        if not others or pages < LEAST_PAGES and others <= (1 - TEMPLATE_SHARE) * (pages + copies):
             return {}
         constant = {id(x) for k, x in enumerate(own) if x.text and not some(others - sums[k, 0])}
         sums = sums.copy()
@@ -572,6 +580,7 @@ class Layout:
         mass, direct, touched, only = (sums[:, side + k].tolist() for k in range(len(SLOTS)))
         if not touched[0]:
             return {}
+        pages = touched[0]  # few or not is told among the pages that have slots
         for k in range(len(own) - 1, 0, -1):
             mass[self.up[k]] += mass[k]
         slot = lambda x: some(touched[number[id(x)]])
@@ -631,9 +640,8 @@ def induce(pages: list[str]) -> dict:
         return {}
     layout = Layout(trees.pop(len(trees) // 2))  # the page of middle size stands for all
     sums = layout.nothing()
-    for other in trees:
-        layout.add(sums, other)
-    return layout.wrapper(sums, len(trees))
+    others = sum(layout.add(sums, other) for other in trees)
+    return layout.wrapper(sums, others, len(trees) - others)
 
 
 def _at(block: Block) -> str:
@@ -738,7 +746,7 @@ def _with_layout(pages: DataFrame, known: DataFrame, column: str) -> DataFrame:
 def sums_of(pages: DataFrame) -> DataFrame:
     """(host, layout, sums): what all pages (host, layout, html, first) say together about the blocks of first, as rows of block number and sums.
 
-    Block -1 has the number of pages aligned.
+    Block -1 has the number of pages aligned, without copies of the first and of these.
     """
     width = 1 + 2 * len(SLOTS)
     names = [f"s{k}" for k in range(width)]
@@ -749,7 +757,7 @@ def sums_of(pages: DataFrame) -> DataFrame:
         size = 0
 
         def rows() -> pd.DataFrame:
-            out = [(*key, -1, count[0], *[0] * (width - 1)) for key, (_, count) in seen.items()]
+            out = [(*key, -1, *count, *[0] * (width - 2)) for key, (_, count) in seen.items()]
             for key, (sums, _) in seen.items():
                 out.extend((*key, k, *sums[k].tolist()) for k in np.flatnonzero(sums.any(axis=1)).tolist())
             return pd.DataFrame(out, columns=["host", "layout", "k", *names])
@@ -760,11 +768,10 @@ def sums_of(pages: DataFrame) -> DataFrame:
                     continue
                 known = layout_at(first)
                 if (host, layout) not in seen:
-                    seen[host, layout] = known.nothing(), [0]
+                    seen[host, layout] = known.nothing(), [0, 0]
                     size += len(known.own) * width
                 sums, count = seen[host, layout]
-                known.add(sums, blocks_of(parse(page)))
-                count[0] += 1
+                count[0 if known.add(sums, blocks_of(parse(page))) else 1] += 1
                 if size > SUMS:
                     yield rows()
                     seen.clear()
@@ -793,14 +800,14 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def conclude(first: pd.Series, sums: pd.Series) -> pd.Series:
         out = []
         for page, rows in zip(first, sums, strict=True):
-            layout, others = Layout(blocks_of(parse(page))), 0
+            layout, others, copies = Layout(blocks_of(parse(page))), 0, 0
             total = layout.nothing()
             for k, *values in rows if rows is not None else ():
                 if k < 0:
-                    others = int(values[0])
+                    others, copies = int(values[0]), int(values[1])
                 else:
                     total[int(k)] = values
-            out.append(json.dumps(layout.wrapper(total, others)))
+            out.append(json.dumps(layout.wrapper(total, others, copies)))
         return pd.Series(out)
 
     return known.join(sums, ["host", "layout"], "left").select("host", "layout", "common", conclude("html", "sums").alias("wrapper"))

@@ -173,3 +173,11 @@ def test_sums_do_not_depend_on_how_pages_are_dealt():
         layout.add(whole, htmltext.blocks_of(htmltext.parse(page)))
         layout.add(parts[k % 3], htmltext.blocks_of(htmltext.parse(page)))
     assert (sum(parts) == whole).all() and layout.wrapper(whole, 24)["main"][-1] == "div.z"
+
+
+def test_pages_that_differ_in_no_text_are_copies():
+    alike = [plain(1) + f"<!-- {k} -->" for k in range(95)]
+    wrapper = htmltext.induce(alike + [plain(k) for k in range(2, 7)])
+    assert htmltext.extract(alike[0], wrapper) == WANT and htmltext.extract(plain(5), wrapper) == WANT.replace("1", "5")
+    # what one page of many copies changes is not the text of all
+    assert htmltext.induce([*alike, plain(1).replace("All rights", "Few rights")]) == {}
