@@ -5,10 +5,11 @@ page of its layout that stands for it. Pages of a host with the same classes of
 fewer than LEAST_PAGES pages is read with the host's most common one. Sums over the pages tell which blocks have
 the same text in nearly all of them and are template; blocks whose text varies are slots. The wrapper of a layout is
 the path of its main node: the smallest node around the slots that are prose. Template blocks never count, whatever
-they are called, a page with no text of its own counts as a copy, and what stands outside the main node goes, but for paragraphs, headings and the like that few pages
-have there: these stay in the texts of those pages. Of the body's parts one that holds
-nearly all of the slots' text is preferred where the rest is bare text, in no paragraph or heading. Where slots lie so
-far apart that only the body holds them all, the wrapper also lists its constant parts, and its parts that are nothing but links.
+they are called, and a page with no text of its own counts as a copy. What stands outside the main node goes, but for
+paragraphs, headings and the like that few pages have there: these stay in the texts of those pages. Of the body's
+parts one that holds nearly all of the slots' text is preferred where the rest is bare text, in no paragraph or
+heading. Where slots lie so far apart that only the body holds them all, the wrapper also lists its constant parts,
+and its parts that are nothing but links.
 
 Names decide only what alignment leaves open. Slots in elements, roles, classes or ids that tell a menu, header,
 footer, sidebar, notice, advert, form or reader comments do not make the main node unless all slots lie in such; an
